@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from .quality_rules import op9_quality_rules
+from . import quality_rules, secret_scan
 
-QUERIES = {"op9_quality_rules": op9_quality_rules}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_secret_scan": secret_scan.op10_secret_scan,
+}
+ORACLES = {"op10_secret_scan": secret_scan.oracle()}
