@@ -39,7 +39,7 @@ def written(df: DataFrame, with_row_id: str | None = None) -> DataFrame:
     if with_row_id:
         df = df.withColumn(with_row_id, F.monotonically_increasing_id())
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
