@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import audio, mixing, quality_rules, secret_scan
+from . import audio, mixing, quality_rules, secret_scan, warc
 
 QUERIES = {
+    "op3_warc": warc.op3_warc,
     "op6_mixing": mixing.op6_mixing,
     "op7_audio": audio.op7_audio,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
-ORACLES = {"op6_mixing": mixing.oracle(), "op10_secret_scan": secret_scan.oracle()}
+ORACLES = {"op3_warc": warc.oracle(), "op6_mixing": mixing.oracle(), "op10_secret_scan": secret_scan.oracle()}
