@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import audio, mixing, quality_rules, secret_scan, warc
+from . import audio, mixing, packing, quality_rules, secret_scan, warc
 
 QUERIES = {
+    "op2_packing": packing.op2_packing,
     "op3_warc": warc.op3_warc,
     "op6_mixing": mixing.op6_mixing,
     "op7_audio": audio.op7_audio,
