@@ -7,9 +7,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from buildlens.llm.common import shared_dir
+from buildlens.llm.mixing import mix_documents
+from buildlens.llm.near_dedup import drop_near_duplicates
+from buildlens.llm.packing import pack_documents
 from buildlens.llm.quality_rules import keep_good
-
-STAGES = [("quality rules", keep_good)]
+from buildlens.llm.secret_scan import mask_secrets
+
+STAGES = [
+    ("quality rules", keep_good),
+    ("near-duplicates", drop_near_duplicates),
+    ("secrets", mask_secrets),
+    ("mixing", mix_documents),
+    ("packing", pack_documents),
+]
 
 #: The stages tokenise, hash and fit, which SQL cannot express; tests compare run() with a brute-force version.
 ORACLE_SQL = None
