@@ -43,6 +43,16 @@ def written(df: DataFrame, with_row_id: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Each name, lengthened until df has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def limit_batches(spark: SparkSession) -> None:
     """Arrow batches are small in rows, so that a partition of very long texts does
     not become one huge batch."""

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table, written
+from .common import WORD, fresh, table, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -130,14 +130,16 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as often as the mix takes it; where the mix ends
     within a document, its last copy is cut there."""
-    rows = written(docs, with_row_id="__row")
-    sizes = rows.select(F.col("__row").alias("row"), "doc_id", "source", size_of(F.col("text")).alias("size"))
-    got = mix(written(sizes)).where("taken > 0").select(F.col("row").alias("__row"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("__taken").cast("int"))
-    gaps = F.slice(F.split("text", WORD, -1), F.lit(1), F.col("__taken").cast("int"))
+    row, size, taken = fresh(docs, "__row", "__size", "__taken")
+    rows = written(docs, with_row_id=row)
+    sizes = rows.select(F.col(row).alias("row"), "doc_id", "source", size_of(F.col("text")).alias("size"))
+    got = mix(written(sizes)).where("taken > 0").select(F.col("row").alias(row), F.col("size").alias(size), F.col("taken").alias(taken))
+    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col(taken).cast("int"))
+    gaps = F.slice(F.split("text", WORD, -1), F.lit(1), F.col(taken).cast("int"))
+    part = F.col(taken) < F.col(size)
     cut = F.array_join(F.zip_with(gaps, words, lambda g, w: F.concat(g, w)), "")
-    out = rows.join(got, "__row").withColumn("text", F.when(F.col("__taken") < F.col("__size"), cut).otherwise(F.col("text")))
-    out = out.withColumn("n_chars", F.when(F.col("__taken") < F.col("__size"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    out = rows.join(got, row).withColumn("text", F.when(part, cut).otherwise(F.col("text")))
+    out = out.withColumn("n_chars", F.when(part, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

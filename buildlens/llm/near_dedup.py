@@ -31,7 +31,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import limit_batches, table, with_python, written
+from .common import fresh, limit_batches, table, with_python, written
 from .components import components
 
 PERMUTATIONS, BANDS, ROWS = 64, 32, 4
@@ -238,8 +238,9 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group the document with the least id, once."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    (own,) = fresh(docs, "__id")
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
 
 
 def oracle() -> str:

@@ -21,7 +21,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import fresh, table, written
 
 
 class Rule(NamedTuple):
@@ -140,20 +140,21 @@ def matches(text: Column, rank: int, rule: Rule) -> Column:
     return F.when(text.rlike(rule.pattern), found)
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with `__spans`, sorted by start and then by the rules' order."""
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, spans: str = "__spans") -> DataFrame:
+    """docs with a column `spans`, sorted by start and then by the rules' order."""
+    own, asked = fresh(docs, "__id", "__rules")
     ids = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    flagged = written(candidates(ids, rules).select(F.col("doc_id").alias("__id"), F.col("rules").alias("__rules")))
-    rows = docs.join(flagged, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    flagged = written(candidates(ids, rules).select(F.col("doc_id").alias(own), F.col("rules").alias(asked)))
+    rows = docs.join(flagged, F.col("doc_id").eqNullSafe(F.col(own)), "left")
     text, none = F.coalesce("text", F.lit("")), F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,hit:string>>")
     found = []
     for k, rule in enumerate(rules):
-        spans = matches(text, k, rule)
+        hits = matches(text, k, rule)
         if trigram_query(rule.pattern):
-            spans = F.when(F.array_contains("__rules", k), spans)
-        found.append(F.coalesce(spans, none))
+            hits = F.when(F.array_contains(asked, k), hits)
+        found.append(F.coalesce(hits, none))
     bare = F.transform(F.array_sort(F.concat(*found)), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return rows.withColumn("__spans", bare).drop("__id", "__rules")
+    return rows.withColumn(spans, bare).drop(own, asked)
 
 
 def said(spans: Column) -> Column:
@@ -184,9 +185,10 @@ def masked(text: Column, spans: Column) -> Column:
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: all documents, their secrets masked."""
-    rows = scan(docs)
-    rows = rows.withColumn("text", F.when(F.size("__spans") > 0, masked(F.col("text"), F.col("__spans"))).otherwise(F.col("text")))
-    return rows.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+    (spans,) = fresh(docs, "__spans")
+    rows = scan(docs, spans=spans)
+    rows = rows.withColumn("text", F.when(F.size(spans) > 0, masked(F.col("text"), F.col(spans))).otherwise(F.col("text")))
+    return rows.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 _LIST = "list_filter(list_transform(range(1, len(m) + 1), lambda i: {'k': K, 's': len(array_to_string(p[1:i], '')) + len(array_to_string(m[1:i-1], '')), 'h': m[i], 'n': 'KIND'}), lambda x: len(COND) >= LEAST)"
