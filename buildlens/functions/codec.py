@@ -45,7 +45,7 @@ def unsigned(value: Column) -> Column:
 def decode_dependencies(blob: Column) -> Column:
     """ARRAY<STRUCT<key_id, order_only, single_use>> of 8-byte words; null where the
     length is not a multiple of 8."""
-    words = F.transform(F.sequence(F.lit(0), F.octet_length(blob) / 8 - 1), lambda i: little_endian(blob, (i * 8).cast("int")))
+    words = F.transform(F.sequence(F.lit(0), (F.octet_length(blob) / 8).cast("int") - 1), lambda i: little_endian(blob, i * 8))
     words = F.when(F.octet_length(blob) == 0, F.array().cast("array<bigint>")).otherwise(words)
     entries = F.transform(
         words,

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .graph import ranked
+
 
 def quoted(x: Column) -> Column:
     return F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(x, r"\\", r"\\\\"), '"', r'\\"'), F.lit('"'))
@@ -55,17 +57,6 @@ def dummy_names(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return ranked(rows, "letter", "key").select("key", F.concat("letter", F.col("rank").cast("string")).alias("name"))
 
 
-def ranked(rows: DataFrame, group: str, order: str) -> DataFrame:
-    """rows with `rank` from 1 within group by order: ranges are sorted in parallel, and
-    each range's first rank follows from the counts of the ranges before it."""
-    parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    dealt = rows.repartitionByRange(int(parts), order).withColumn("__part", F.spark_partition_id())
-    counts = dealt.groupBy(group, "__part").agg(F.count("*").alias("__n"))
-    before = counts.select(group, "__part", F.coalesce(F.sum("__n").over(Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    own = F.row_number().over(Window.partitionBy(group, "__part").orderBy(order))
-    return dealt.withColumn("__own", own).join(before, [group, "__part"]).withColumn("rank", F.col("__before") + F.col("__own")).drop("__part", "__own", "__before")
-
-
 def ninja(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(place, value): a manifest of the same shape: one build line for each inner node and
     the roots as defaults."""

@@ -34,6 +34,9 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def closure(goals: DataFrame, edges: DataFrame) -> DataFrame:
     """Keys that the goals demand, directly or not, themselves included; with `depth`,
     the least number of edges from a goal. Cycles end the search, not the loop."""
+    edges = written(edges.select("key", "dep").distinct())
+    if single_parent(edges):
+        return upward(goals, edges)
     frontier = written(goals.select("key").distinct())
     found, depth = frontier.withColumn("depth", F.lit(0)), 0
     while not frontier.isEmpty():
@@ -44,16 +47,35 @@ def closure(goals: DataFrame, edges: DataFrame) -> DataFrame:
     return found
 
 
+def upward(goals: DataFrame, edges: DataFrame) -> DataFrame:
+    """closure() where each key has at most one dependency: the k-th round reaches
+    2^k edges far, by jumps of that length."""
+    found = written(goals.select("key").distinct().withColumn("depth", F.lit(0)))
+    jump, length, n = edges.select("key", F.col("dep").alias("up")), 1, found.count()
+    while True:
+        far = found.join(jump, "key").select(F.col("up").alias("key"), (F.col("depth") + length).alias("depth"))
+        found = written(found.unionByName(far).groupBy("key").agg(F.min("depth").alias("depth")))
+        before, n = n, found.count()
+        if n == before:
+            return found
+        jump = written(jump.join(jump.select(F.col("key").alias("up"), F.col("up").alias("__up")), "up").select("key", F.col("__up").alias("up")))
+        length *= 2
+
+
 def single_parent(edges: DataFrame) -> bool:
     return edges.groupBy("key").count().where("count > 1").isEmpty()
 
 
 def doubled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes (key, w) with level and total: the number of edges, and the sum of w, along
-    the one path of dependencies from each key. Each key has at most one dependency."""
+    the one path of dependencies from each key. Each key has at most one dependency. A
+    path longer than there are keys is a cycle, and a ValueError."""
     now = nodes.select("key", "w").join(edges.select("key", F.col("dep").alias("up")), "key", "left")
+    rounds = nodes.count().bit_length() + 1
     now = written(now.select("key", "up", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("level"), F.col("w").cast("decimal(38,2)").alias("total")))
     while not now.where("up IS NOT NULL").isEmpty():
+        if not (rounds := rounds - 1):
+            raise ValueError("the graph has cycles")
         above = now.select(F.col("key").alias("up"), F.col("up").alias("up2"), F.col("level").alias("level2"), F.col("total").alias("total2"))
         step = now.join(above, "up", "left")
         now = written(step.select("key", F.col("up2").alias("up"), (F.col("level") + F.coalesce("level2", F.lit(0))).alias("level"), (F.col("total") + F.coalesce("total2", F.lit(0))).cast("decimal(38,2)").alias("total")))
@@ -105,10 +127,10 @@ def longest_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     In each round the keys whose dependencies are all placed are placed, with the sums
     of only that round's edges shuffled."""
     edges = written(edges.select("key", "dep").distinct())
-    if not acyclic(edges).isEmpty():
-        raise ValueError("the graph has cycles")
     if single_parent(edges):
         return doubled(nodes, edges)
+    if not acyclic(edges).isEmpty():
+        raise ValueError("the graph has cycles")
     weights = nodes.select("key", F.col("w").cast("decimal(38,2)").alias("w"))
     state = written(weights.join(edges.groupBy("key").agg(F.count("*").alias("open")), "key", "left").select("key", "w", F.coalesce("open", F.lit(0)).alias("open"), F.lit(0).cast("decimal(38,2)").alias("best")))
     placed, level = None, 0
@@ -127,16 +149,12 @@ def critical_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(ordinal, key, w, total): the chain with the greatest sum of w, dependencies first.
     Equal sums go to the least key."""
     totals = written(longest_paths(nodes, edges))
-    spark = nodes.sparkSession
-    top = totals.orderBy(F.desc("total"), "key").limit(1).collect()
-    rows = []
-    while top:
-        key, total = top[0]["key"], top[0]["total"]
-        rows.append((key, total))
-        deps = edges.where(F.col("key") == key).select(F.col("dep").alias("key"))
-        top = totals.join(deps, "key", "left_semi").orderBy(F.desc("total"), "key").limit(1).collect()  # one row each
-    chain = spark.createDataFrame([(len(rows) - i - 1, k, t) for i, (k, t) in enumerate(rows)], "ordinal int, key string, total decimal(38,2)")
-    return chain.join(nodes.select("key", "w"), "key").select("ordinal", "key", "w", "total")
+    below = edges.select("key", "dep").join(totals.select(F.col("key").alias("dep"), "total"), "dep")
+    chosen = written(below.groupBy("key").agg(F.min_by("dep", F.struct(-F.col("total"), F.col("dep"))).alias("dep")))
+    path = written(upward(totals.orderBy(F.desc("total"), "key").limit(1), chosen))
+    deepest = path.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]  # one number
+    rows = path.join(totals, "key").join(nodes.select("key", "w"), "key")
+    return rows.select((F.lit(deepest) - F.col("depth")).alias("ordinal"), "key", "w", "total")
 
 
 def validate_path(path: DataFrame, edges: DataFrame, ordinal: str = "ordinal", group: list[str] | None = None) -> DataFrame:
@@ -148,9 +166,22 @@ def validate_path(path: DataFrame, edges: DataFrame, ordinal: str = "ordinal", g
     return out.withColumn("ok", F.col("__before").isNull() | F.coalesce("__hit", F.lit(False))).drop("__before", "__k", "__d", "__hit")
 
 
+def ranked(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """rows with `rank` from 1 within group by order: ranges are sorted in parallel, and
+    each range's first rank follows from the counts of the ranges before it."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(rows.repartitionByRange(parts, order).withColumn("__part", F.spark_partition_id()))
+    counts = dealt.groupBy(group, "__part").agg(F.count("*").alias("__n"))
+    past = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(group, "__part", F.coalesce(F.sum("__n").over(past), F.lit(0)).alias("__before"))  # one row a range
+    own = F.row_number().over(Window.partitionBy(group, "__part").orderBy(order))
+    return dealt.withColumn("__own", own).join(before, [group, "__part"]).withColumn("rank", F.col("__before") + F.col("__own")).drop("__part", "__own", "__before")
+
+
 def dense_ids(elements: DataFrame, column: str) -> DataFrame:
-    """element and its dense id in the order of elements; equal elements have one id."""
-    return elements.select(column).distinct().withColumn("id", F.row_number().over(Window.orderBy(column)) - 1)
+    """element and its dense id from 0 in the order of elements; equal elements have one id."""
+    rows = elements.select(column).distinct().withColumn("__all", F.lit(0))
+    return ranked(rows, "__all", column).select(column, (F.col("rank") - 1).alias("id"))
 
 
 def propagate(nodes: DataFrame, edges: DataFrame, failed: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ def _signed(entries: DataFrame, own) -> DataFrame:
             signed = here.join(lists, "path", "left")
         parts = F.concat(F.array("own"), F.coalesce("children", F.array().cast("array<string>")))
         signature = F.when(F.col("is_directory"), F.when(F.coalesce(F.size("children"), F.lit(0)) == 0, F.lit(EMPTY)).otherwise(fold_hash(parts))).otherwise(F.md5(F.col("own").cast("binary")))
-        below = written(signed.select("path", "is_directory", "up", "name", signature.alias("signature")).where("NOT (path = '/' AND NOT is_directory)"))
+        below = written(signed.select("path", "is_directory", "up", "name", signature.alias("signature")))
         done = below if done is None else done.unionByName(below)
     if done is None:
         return entries.select("path", F.lit("").alias("signature")).where("false")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import data_queries, graph_queries
+
 FLAGSHIP = "critical_path_total"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict = graph_queries.QUERIES | data_queries.QUERIES
+ORACLES: dict[str, str] = graph_queries.ORACLES | data_queries.ORACLES
