@@ -39,7 +39,7 @@ def to_little_endian(value: Column, width: int = 8) -> Column:
 def unsigned(value: Column) -> Column:
     """A bit pattern as the unsigned number that it stands for."""
     wide = value.cast("decimal(20,0)")
-    return F.when(value < 0, wide + F.lit(1 << 64).cast("decimal(20,0)")).otherwise(wide).cast("decimal(20,0)")
+    return F.when(value < 0, wide + F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(wide).cast("decimal(20,0)")
 
 
 def decode_dependencies(blob: Column) -> Column:

@@ -69,7 +69,7 @@ SAFE = r"^[A-Za-z0-9_@%+=:,./-]+$"
 
 
 def shell_escape(word: Column) -> Column:
-    quoted = F.concat(F.lit("'"), F.regexp_replace(word, "'", "'\\\\\\\\''"), F.lit("'"))
+    quoted = F.concat(F.lit("'"), F.regexp_replace(word, "'", "'\\\\''"), F.lit("'"))
     return F.when(word.rlike(SAFE), word).otherwise(quoted)
 
 

@@ -193,7 +193,7 @@ def command_lines(lines: DataFrame) -> DataFrame:
 
 def manifest_edges(builds: DataFrame) -> DataFrame:
     """(key, ordinal, dep, order_only): what each output depends on, in order."""
-    marked = lambda c, only: F.transform(c, lambda p: F.struct(p.alias("dep"), F.lit(only).alias("order_only")))
+    marked = lambda c, only: F.transform(c, lambda p: F.named_struct(F.lit("dep"), p, F.lit("order_only"), F.lit(only)))
     deps = F.concat(marked("inputs", False), marked("implicit", False), marked("order_only", True))
     return builds.select(F.explode("outputs").alias("key"), deps.alias("deps")).select("key", F.posexplode("deps").alias("ordinal", "d")).select("key", "ordinal", "d.dep", "d.order_only")
 
