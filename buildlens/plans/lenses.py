@@ -10,14 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trimmed
+from ..shared import table
 
 MONEY = "decimal(12,2)"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def named(letter: str, column: str):
     return F.concat(F.lit(letter), F.col(column).cast("string"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 _own_dir: str | None = None
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or, only where that is unset (a local test session), one
     temporary folder per process."""
@@ -22,6 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, unless the
+    session says otherwise; on a cluster that is a folder all nodes have, or --py-files."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parent.parent))
+
+
 def written(df: DataFrame, with_row_id: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back. A lost executor then costs a
     reread, not a recomputation. with_row_id adds a unique row number, which stays fixed

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import schema
+from ..shared import reach_workers
 
 #: The stored format's version.
 VERSION = 17
@@ -73,6 +74,7 @@ class BuildDB(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    reach_workers(spark)
     spark.dataSource.register(BuildDB)
 
 

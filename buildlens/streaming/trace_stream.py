@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.history import upserted
+from ..shared import reach_workers
 
 
 def read_events(spark: SparkSession, path: str, schema: str = "ts timestamp, lane long, tag string, name string") -> DataFrame:
@@ -38,6 +39,8 @@ def paired(events: DataFrame, begin: str = "begin", end: str = "end", late: str
     watermark. The state of a key is one time."""
     import pandas as pd
 
+    reach_workers(events.sparkSession)
+
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         open_at = pd.Timestamp(state.get[0], unit="us") if state.exists else None
         if state.hasTimedOut:

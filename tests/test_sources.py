@@ -7,8 +7,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from buildlens.operators import history
-from buildlens.sources import build_db, text_files
+from buildlens.operators import history, nodes, tools
+from buildlens.sources import build_db, build_file, text_files
 from buildlens.streaming import trace_stream
 
 
@@ -141,3 +141,64 @@ def test_stream_of_latest_results(spark, tmp_path):
     stream = spark.readStream.schema("key string, epoch long, value string").json(source)
     trace_stream.keep_latest(stream, folder, ["key"]).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
     assert sorted((r["key"], r["value"]) for r in spark.read.parquet(f"{folder}/0").collect()) == [("k", "new"), ("m", "x")]
+
+
+YAML = """client:
+  name: basic
+targets:
+  all: ["<all>", out]
+default: all
+nodes:
+  dir/:
+    content-exclusion-patterns: ["*.o"]
+  "<all>": {}
+  st: {type: directory-structure, is-mutated: true}
+commands:
+  cc:
+    tool: shell
+    inputs: [a.c]
+    outputs: [out]
+    args: cc a.c
+  odd:
+    inputs: [x]
+"""
+
+
+def test_build_file(spark):
+    rows = build_file.entities(files(spark, YAML, "targets: {}\nclient: {name: x}\nnoise: 1\n", "[1", "a: b")).cache()
+    command = build_file.commands(rows).collect()
+    assert [(c["name"], c["tool"], c["inputs"], c["outputs"], c["attrs"]) for c in command] == [("cc", "shell", ["a.c"], ["out"], {"args": "cc a.c"})]
+    assert [tuple(r) for r in build_file.targets(rows).collect()] == [("all", "<all>", 0), ("all", "out", 1)]
+    assert {r["name"]: (r["kind"], r["mutated"], r["exclusion_patterns"]) for r in build_file.nodes(rows).collect()} == {"dir/": ("directory", False, ["*.o"]), "<all>": ("virtual", False, []), "st": ("structure", True, [])}
+    found = {r["error"] for r in build_file.errors(rows).collect()}
+    assert {"command odd doesn't begin with its tool", "section client out of order", "unknown section noise", "unknown section a"} <= found and any(e.startswith("no YAML") for e in found)
+
+
+def test_tools(spark):
+    rows = build_file.entities(files(spark, YAML))
+    base = build_file.commands(rows).select(tools.signature(build_file.commands(rows)).alias("s")).first()["s"]
+    other = build_file.commands(build_file.entities(files(spark, YAML.replace("cc a.c", "cc -g a.c"))))
+    assert base != other.select(tools.signature(other).alias("s")).first()["s"]
+    assert [r["dep"] for r in tools.discovered(files(spark, "o: a b\np: c\n"), "makefile-ignoring-subsequent-outputs").collect()] == ["a", "b"]
+    binary = spark.createDataFrame([("f", bytearray(b"\0v\0\x10a\0"))], "file string, content binary")
+    assert [r["dep"] for r in tools.discovered(binary, "dependency-info").collect()] == ["a"]
+    with pytest.raises(ValueError):
+        tools.discovered(binary, "unknown")
+
+
+def test_node_values(spark):
+    snapshot = spark.createDataFrame([("/a", 1, 1, 0o100644, 5, 9, 0, None), ("/d", 1, 2, 0o040755, 1, 9, 0, None)], "path string, device long, inode long, mode long, size long, mtime_s long, mtime_ns int, checksum binary")
+    asked = spark.createDataFrame([("/a", "plain"), ("/d/", "directory"), ("/no", "plain"), ("<v>", "virtual")], "node string, kind string")
+    values = nodes.input_values(asked, snapshot)
+    assert {r["node"]: r["value"] for r in values.collect()} == {"/a": "ExistingInput", "/d/": "ExistingInput", "/no": "MissingInput", "<v>": "VirtualInput"}
+    listing = spark.createDataFrame([("/d", ["x"])], "directory string, names array<string>")
+    assert {r["node"]: (r["value"], r["names"]) for r in nodes.contents_values(asked.where("kind <> 'virtual'"), snapshot, listing).collect()} == {"/a": ("ExistingInput", None), "/d/": ("DirectoryContents", ["x"]), "/no": ("MissingInput", None)}
+    targets = spark.createDataFrame([("t", "/a"), ("t", "/d/"), ("u", "/no"), ("u", "/a")], "target string, node string")
+    assert {r["target"]: (r["value"], r["missing"]) for r in nodes.target_values(targets, values).collect()} == {"t": ("Target", 0), "u": ("Invalid", 1)}
+    inputs = spark.createDataFrame([("c", "/a"), ("d", "/no")], "command string, node string")
+    outcomes = spark.createDataFrame([("c", True, None), ("e", False, None)], "command string, ok boolean, signature string")
+    own = spark.createDataFrame([("c",), ("d",), ("e",)], "command string")
+    assert {r["command"]: r["value"] for r in nodes.command_values(own, inputs, values, outcomes).collect()} == {"c": "SuccessfulCommand", "d": "PropagatedFailureCommand", "e": "FailedCommand"}
+    results = spark.createDataFrame([("k", "1"), ("b", "2"), ("a", "3")], "key string, value string")
+    edges = spark.createDataFrame([("k", "b"), ("k", "a")], "key string, dep string")
+    assert [(r["dep"], r["dep_value"]) for r in nodes.with_dependencies(results, edges, "k").collect()] == [("a", "3"), ("b", "2")]
