@@ -1,47 +1,16 @@
-"""What the corpus operators share: the word pattern, table reading, and tables
-written to the shared folder to cut lineage."""
+"""What the corpus operators share: the word pattern, column names that clash with none,
+and functions of one text in Python workers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import reach_workers, shared_dir, table, written  # noqa: F401
+
 #: A word is a run of characters other than space and the five ASCII controls 09-0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_dir: str | None = None
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, only
-    where that is unset (a local test session), one temporary folder per process."""
-    global _own_dir
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    if _own_dir is None:
-        _own_dir = "file://" + tempfile.mkdtemp(prefix="buildlens-shared-")
-    return _own_dir
-
-
-def written(df: DataFrame, with_row_id: str | None = None) -> DataFrame:
-    """Writes df to the shared folder and reads it back. A lost executor then costs
-    a reread, not a recomputation. with_row_id adds a unique row number, which stays
-    fixed because it is stored."""
-    spark = df.sparkSession
-    if with_row_id:
-        df = df.withColumn(with_row_id, F.monotonically_increasing_id())
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Each name, lengthened until df has no such column."""
@@ -55,7 +24,8 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 def limit_batches(spark: SparkSession) -> None:
     """Arrow batches are small in rows, so that a partition of very long texts does
-    not become one huge batch."""
+    not become one huge batch; and workers find this package."""
+    reach_workers(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
 
 
