@@ -131,10 +131,18 @@ def action_order(actions: DataFrame) -> DataFrame:
     return actions.orderBy(F.desc("priority"), "build_id", "work_id")
 
 
-def lanes(limit: Column, background: Column | int = 0) -> Column:
-    """How many lanes a limit of open files allows; background tasks take theirs first."""
-    back = F.lit(background) if isinstance(background, int) else background
-    return F.greatest(F.lit(1), F.least(F.lit(1024), F.floor((limit - back) / 8)))
+#: Open files that a build keeps for itself, files of a task, background
+#: tasks at most, and these for each lane.
+RESERVED_FILES, TASK_FILES, MOST_BACKGROUND, BACKGROUND_PER_LANE = 10, 2, 1024, 64
+
+
+def lanes(limit: Column, asked: Column) -> Column:
+    """STRUCT<lanes, background>: what a limit of open files allows of the lanes asked for,
+    and how many background tasks fit beside them."""
+    tasks = F.greatest(F.lit(0), F.floor((limit - RESERVED_FILES) / TASK_FILES))
+    extra = F.least(F.lit(MOST_BACKGROUND), asked * BACKGROUND_PER_LANE, tasks - asked)
+    enough = asked <= tasks
+    return F.struct(F.when(enough, asked).otherwise(F.greatest(F.lit(1), tasks)).alias("lanes"), F.when(enough, extra).otherwise(F.lit(0)).alias("background"))
 
 
 def environment(own: Column, inherited: Column, inherit: Column) -> Column:

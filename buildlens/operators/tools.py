@@ -28,11 +28,11 @@ TOOLS = {
     "phony": Tool("always"),
     "clang": Tool("outputs", ("makefile",), ("args", "deps")),
     "mkdir": Tool("directory"),
-    "symlink": Tool("link", (), ("contents", "link-output-path")),
+    "symlink": Tool("link", (), ("contents",)),
     "archive": Tool("outputs"),
-    "shared-library": Tool("outputs", (), ("executable", "compiler-style", "args")),
+    "shared-library": Tool("outputs", (), ("executable", "compiler-style", "other-args")),
     "stale-file-removal": Tool("never", (), ("expectedOutputs", "roots")),
-    "swift-compiler": Tool("outputs", ("makefile",), ("executable", "module-name", "module-aliases", "module-output-path", "sources", "objects", "import-paths", "temps-path", "is-library", "enable-whole-module-optimization", "num-threads", "other-args")),
+    "swift-compiler": Tool("outputs", ("makefile",), ("executable", "module-name", "module-aliases", "module-output-path", "sources", "objects", "import-paths", "temps-path", "other-args", "is-library")),
 }
 
 

@@ -42,7 +42,7 @@ def progress(counts: DataFrame) -> DataFrame:
 
 
 #: What a status line's letters stand for, by column of progress().
-STATUS_LETTERS = {"s": "started", "t": "total", "r": "running", "u": "unstarted", "f": "finished", "o": "rate", "c": "current_rate", "p": "percent", "e": "elapsed"}
+STATUS_LETTERS = {"s": "started", "t": "total", "r": "running", "u": "unstarted", "f": "finished", "o": "rate", "c": "rate", "p": "percent", "e": "elapsed"}
 
 
 def status_line(template: str, columns: dict[str, Column]) -> Column:

@@ -97,7 +97,7 @@ def nodes(rows: DataFrame) -> DataFrame:
     declared = F.element_at("attrs", "type")
     flag = lambda n: F.coalesce(F.element_at("attrs", n) == "true", F.lit(False))
     lists = lambda n: F.coalesce(F.element_at("list_attrs", n), F.array().cast("array<string>"))
-    kind = F.when(declared == "directory", "directory").when(declared == "directory-structure", "structure").when(flag("is-virtual"), "virtual").otherwise(node_kind(F.col("name")))
+    kind = F.when((declared == "directory") | flag("is-directory"), "directory").when((declared == "directory-structure") | flag("is-directory-structure"), "structure").when((declared == "virtual") | flag("is-virtual"), "virtual").when(declared == "plain", "plain").otherwise(node_kind(F.col("name")))
     return rows.where("section = 'nodes'").select("name", kind.alias("kind"), flag("is-mutated").alias("mutated"), flag("is-command-timestamp").alias("command_timestamp"), lists("content-exclusion-patterns").alias("exclusion_patterns"), lists("must-scan-after-paths").alias("must_scan_after"))
 
 
