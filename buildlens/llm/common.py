@@ -23,9 +23,10 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def limit_batches(spark: SparkSession) -> None:
-    """Arrow batches are small in rows, so that a partition of very long texts does
-    not become one huge batch; and workers find this package."""
+    """Batches of the Parquet reader and of Arrow are small in rows, so that very long
+    texts do not become one huge batch; and workers find this package."""
     reach_workers(spark)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
 
 
