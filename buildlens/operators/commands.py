@@ -115,8 +115,8 @@ def tolerated(outcomes: DataFrame, most: int, order: str = "ordinal") -> DataFra
     if most <= 0:
         return outcomes.withColumn("cancelled", F.lit(False))
     place = outcomes.where("failed").select(order).orderBy(order).limit(most).agg(F.count("*").alias("n"), F.max(order).alias("at"))
-    limit = place.select(F.when(F.col("n") == most, F.col("at")).alias("__at"))
-    return outcomes.crossJoin(F.broadcast(limit)).withColumn("cancelled", F.coalesce(F.col(order) > F.col("__at"), F.lit(False))).drop("__at")  # one row
+    n, at = place.first()  # two numbers
+    return outcomes.withColumn("cancelled", F.col(order) > at if n == most else F.lit(False))
 
 
 def queue_order(jobs: DataFrame, by_name: bool = False) -> DataFrame:

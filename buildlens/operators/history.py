@@ -161,7 +161,7 @@ class BuildHistory:
     def results(self, schema: str = "key string, value string, signature string, built_at long, computed_at long") -> DataFrame:
         """Each key's latest committed result."""
         rows = self._read("results", f"{schema}, epoch long")
-        kept = rows.withColumn("epoch", F.col("epoch").cast("long")).join(F.broadcast(self.epochs().select("epoch")), "epoch", "left_semi")  # one number a build
+        kept = rows.withColumn("epoch", F.col("epoch").cast("long")).join(self.epochs().select("epoch"), "epoch", "left_semi")
         return latest(kept).drop("epoch")
 
     def clear(self) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_id, merge_last_wins, stable_id
+from .graph import ranked
 from .history import upserted
 
 
@@ -96,9 +97,9 @@ def runs_here(properties, architectures: list[str], platform_name: str):
 
 def log_segments(log: DataFrame, length: int = 256, channel: str = "channel", order: str = "seq") -> DataFrame:
     """(channel, segment, id, prev, root, entries): a log cut into segments of `length`
-    entries, each with its id, its predecessor's, and the first one's."""
-    place = F.row_number().over(Window.partitionBy(channel).orderBy(order)) - 1
-    cut = log.withColumn("segment", F.floor(place / length).cast("long"))
+    entries, each with its id, its predecessor's, and the first one's. Entries are ranked
+    in parallel; only one row a segment is put in order by channel."""
+    cut = ranked(log, channel, order).withColumn("segment", F.floor((F.col("rank") - 1) / length).cast("long"))
     segments = cut.groupBy(channel, "segment").agg(F.count("*").alias("entries"), F.array_sort(F.collect_list(F.struct(F.col(order), F.col("entry")))).alias("__e"))
     segments = segments.select(channel, "segment", "entries", F.sha2(F.array_join(F.transform("__e", lambda e: F.sha2(e["entry"].cast("binary"), 256)), ""), 256).alias("id"))
     chain = Window.partitionBy(channel).orderBy("segment")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import written
+from .graph import ranked
 
 #: What the counters of a build are called, by the tag that they count.
 STATUS = {"scanning": "command-scanning", "up_to_date": "command-up-to-date", "started": "command-started", "finished": "command-finished", "failed": "command-failed", "skipped": "command-skipped"}
@@ -82,8 +83,8 @@ def trace_rows(results: DataFrame) -> DataFrame:
     # sequence numbers: a round's rows come after those of the rounds before it
     per = rows.groupBy("round").agg(F.count("*").alias("__n"))
     base = per.select("round", F.coalesce(F.sum("__n").over(Window.orderBy("round").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))  # one row a round
-    place = F.row_number().over(Window.partitionBy("round").orderBy("key", "n"))
-    return rows.withColumn("__place", place).join(base, "round").select((F.col("__base") + F.col("__place") - 1).alias("seq"), "tag", "a1", "a2", "a3")
+    placed = ranked(rows.withColumn("__order", F.struct("key", "n")), "round", "__order")
+    return placed.join(base, "round").select((F.col("__base") + F.col("rank") - 1).alias("seq"), "tag", "a1", "a2", "a3")
 
 
 def processes(events: DataFrame) -> DataFrame:
