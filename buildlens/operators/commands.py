@@ -120,8 +120,8 @@ def tolerated(outcomes: DataFrame, most: int, order: str = "ordinal") -> DataFra
 
 
 def queue_order(jobs: DataFrame, by_name: bool = False) -> DataFrame:
-    """jobs with `__class` for sorting: the prioritised first, then in order of arrival, or
-    the greatest name first."""
+    """jobs sorted: the prioritised first, then in order of arrival, or the greatest name
+    first."""
     first = F.when(F.col("priority"), 0).otherwise(1)
     return jobs.orderBy(first, F.desc("name") if by_name else F.col("arrival"), "arrival")
 
