@@ -196,10 +196,12 @@ def _crossing(pairs: DataFrame, roots: DataFrame, texts: DataFrame, words: int)
     return dealt.groupBy("pivot", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
-    """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, words: int = 5, row_id: str | None = None) -> DataFrame:
+    """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id, kept
+    (and row_id, if named, with the component's least row as __group)."""
+    ids = [row_id] if row_id else []
     text = F.coalesce("text", F.lit("")).cast("binary")
-    source = docs.select("doc_id", F.md5(text).alias("text_md5"), text.alias("__data"))
+    source = docs.select("doc_id", *ids, F.md5(text).alias("text_md5"), text.alias("__data"))
     sketches = written(with_python(source, "__data", _sketch(words), [("n_shingles", "long"), ("set_id", "binary"), ("bands", "array<long>")]), with_row_id="row")
     classes = written(sketches.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")))
     first = sketches.join(classes.select(F.col("node").alias("row")), "row", "left_semi")
@@ -226,10 +228,10 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     tops = written(tops.unionByName(tops.select(F.col("top").alias("node"), "top").distinct()).dropDuplicates(["node"]))
     placed = tops.join(classes.select("node", "set_id", "least"), "node")
     least = placed.groupBy("top").agg(F.min("least").alias("component"))
-    linked = placed.join(least, "top").select("set_id", "component")
-    known = written(classes.join(linked, "set_id", "left").select("set_id", F.coalesce("component", "least").alias("component")))
-    out = sketches.select("doc_id", "n_shingles", "set_id").join(known, "set_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    linked = placed.join(least, "top").select("set_id", "component", "top")
+    known = written(classes.join(linked, "set_id", "left").select("set_id", F.coalesce("component", "least").alias("component"), F.coalesce("top", "node").alias("__group")))
+    out = sketches.select("doc_id", "n_shingles", "set_id", "row", *ids).join(known, "set_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *ids, *[F.coalesce("__group", "row").alias("__group") for _ in ids])
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,10 +239,14 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group the document with the least id, once."""
-    (own,) = fresh(docs, "__id")
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias(own)).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Pipeline stage: of each group one row, the first of those with the least id (null last).
+
+    Rows are told apart by a written row id, as ids may be null or repeated."""
+    (own,) = fresh(docs, "__own")
+    rows = written(docs, with_row_id=own)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", own)).alias("first")
+    kept = near_duplicates(rows, row_id=own).groupBy("__group").agg(first).select(F.col(f"first.{own}").alias(own))
+    return rows.join(kept, own, "left_semi").select(*docs.columns)
 
 
 def oracle() -> str:

@@ -87,3 +87,12 @@ def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {100 + i: 100 for i in range(1, 50)}
+
+
+def test_stage_tells_rows_with_one_id_apart(spark, tables):
+    """Null and repeated ids: a row goes only if it is like another one that stays."""
+    a, b, c, d, e = (words(90, 40 + i) for i in range(5))
+    rows = [(None, a), (None, b), (1, b), (2, c), (2, d), (None, changed(c, 70)), (None, e), (None, e)]
+    docs = spark.read.parquet(tables([(i, t, "en", "a") for i, t in rows]) + "/documents.parquet")
+    left = near_dedup.drop_near_duplicates(spark, docs, "").collect()
+    assert key((r["doc_id"], r["text"]) for r in left) == key([(None, a), (1, b), (2, c), (2, d), (None, e)])
