@@ -30,6 +30,20 @@ def limit_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
 
 
+def collect_shuffles(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of finished jobs when the driver's collector finds
+    that nothing refers to them; this asks for it, as a small driver heap may wait long."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table of written() that no later step reads."""
+    files, jvm = df.inputFiles(), df.sparkSession.sparkContext._jvm
+    if files:
+        path = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def with_python(df: DataFrame, column: str, make, fields: list[tuple[str, str]], setup=None) -> DataFrame:
     """df without `column`, plus the fields that make(value) returns as a tuple.
 
