@@ -81,3 +81,63 @@ def test_patterns_discover_what_the_base_misses(spark, tables):
 
 def test_empty_table(spark, tables):
     assert pii.op4_pii(spark, tables()).collect() == []
+
+
+def scored_by_brute_force(texts: list[str]) -> list[str]:
+    """The whole method in plain Python: patterns, three rounds of scores, spans."""
+    found = [pii.mentions(t, pii.base_spans(t)) for t in texts]
+    seed, by_pattern = {}, {}
+    for m in (m for each in found for m in each):
+        for p in m["patterns"]:
+            by_pattern.setdefault(p, set()).add(m["instance"])
+            if m["kind"] >= 0:
+                seed[m["instance"]] = max(seed.get(m["instance"], -1), m["kind"])
+    scores = {(i, k): 1.0 for i, k in seed.items()}
+    for _ in range(pii.ROUNDS):
+        wrong: dict = {}
+        for instances in by_pattern.values():
+            for k in range(4):
+                votes = sum(scores.get((i, k), 0.0) for i in instances)
+                sure = votes / (len(instances) + 1)
+                if votes >= pii.SUPPORT and sure >= pii.LEAST_CONFIDENCE:
+                    for i in instances - set(seed):
+                        wrong[i, k] = wrong.get((i, k), 1.0) * (1 - sure)
+        scores = {(i, k): 1.0 for i, k in seed.items()} | {x: 1 - w for x, w in wrong.items()}
+    best: dict = {}
+    for (i, k), s in scores.items():
+        if i not in seed and s >= pii.LEAST_SCORE:
+            best[i] = max(best.get(i, (0.0, 0)), (s, -k))
+    out = []
+    for t, each in zip(texts, found):
+        added, end = [], 0
+        for a, last, k in sorted((m["start"], -m["end"], -best[m["instance"]][1]) for m in each if m["kind"] < 0 and m["instance"] in best and -best[m["instance"]][1] in m["kinds"]):
+            if a >= end:
+                added.append((k, a, -last))
+                end = -last
+        out.append(",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in sorted(pii.base_spans(t) + added)))
+    return out
+
+
+def test_scores_against_brute_force(spark, tables):
+    """Identifiers that stand side by side, where the base rules lose one of them; decoys."""
+    rng, texts = random.Random(3), []
+    card = lambda: next(c for c in iter(lambda: "4" + "".join(rng.choices("0123456789", k=15)), "") if pii.luhn(c))
+    ip = lambda: ".".join(str(rng.randint(1, 255)) for _ in range(4))
+    phone = lambda: f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"
+    for i in range(60):
+        parts = [words(5, 3 * i), rng.choice([card, ip, phone])(), words(4, 3 * i + 1)]
+        if i % 10 == 0:
+            parts[1] = f"{ip()} {card()}" if i % 20 else f"{phone()} {ip()}"
+        if i % 10 == 5:
+            parts[1] = "".join(rng.choices("0123456789", k=16))  # hardly ever a card
+        texts.append(" ".join(parts))
+    want = scored_by_brute_force(texts)
+    got = {r["doc_id"]: r["spans"] for r in pii.op4_pii(spark, tables([(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    beside = [i for i in range(0, 60, 10)]
+    assert all(len(want[i].split(",")) == 2 for i in beside) and sum(len(brute(texts[i])) for i in beside) < 12
+
+
+def test_clean_texts_stay_clean(spark, tables):
+    docs = [(i, f"{words(40, i)} chapter {1000 + i} of {words(20, 100 + i)} room 40{i % 10}-12 {words(9, 7)}", "en", "a") for i in range(30)]
+    assert {r["spans"] for r in pii.op4_pii(spark, tables(docs)).collect()} == {""}
