@@ -4,20 +4,25 @@ A document's tokens (and one end token) are cut into full windows and a rest. Th
 rests are packed by their lengths' histogram alone, which has at most WINDOW - 1
 entries however large the corpus is: combinations of two or three lengths that fill a
 window are enumerated, how often each is used is solved for by non-negative least
-squares against the histogram and rounded down, and the rests that no combination
-takes are laid end to end, shortest first, and cut at the windows' ends. The last
-window of these is cut into powers of two, which need no padding. So each rest's place
-follows from its length and its rank among the rests of that length, and the rank from
-its place in its partition and the counts of the partitions before.
+squares against the histogram and rounded down. What no combination takes is packed
+greedily by length: a window gets the longest rest that is left and then, again and
+again, the longest that fits; a gap that none fits is filled from the shortest one, whose
+remainder waits as a rest of its own. As many windows are filled alike as the histogram
+allows, so the work depends on the lengths, not on the corpus. What is left in the end is
+less than a window and is cut into powers of two, which need no padding. So each rest's
+places follow from its length and its rank among the rests of that length, and the rank
+from its place in its partition and the counts of the partitions before.
 
 Null or empty text: the end token alone. Repeated rows: each is packed. Null doc_id:
-packed as any other.
+packed as any other. Very long texts are cut at windows. Ties go to the order of rows in
+their partition. Columns of docs other than those asked for are not read.
 """
 
 from __future__ import annotations
 
 import json
 import zlib
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,11 +47,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        self.special: dict[str, int] = {}
         self.fast = self._fast(path)
 
-    @staticmethod
-    def _fast(path: str):
+    def _fast(self, path: str):
         import public_tokenizers
         import tiktoken
 
@@ -55,16 +59,22 @@ class Encoder:
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
-        special = {x["content"] for x in spec.get("added_tokens", [])}
+        added = spec.get("added_tokens", [])
+        special = {x["content"]: x["id"] for x in added}
+        if any(x.get(flag) for x in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            return None
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
         if [vocab["".join(p)] for p in pairs] != list(range(256, 256 + len(pairs))):
             return None
         ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if token not in special}
-        return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.special = special
+        return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def __call__(self, text: str) -> list[int]:
         if self.fast is not None:
             try:
+                if any(x in text for x in self.special):
+                    return self.fast.encode(text, allowed_special="all")
                 return self.fast.encode_ordinary(text)
             except BaseException as e:  # the regex engine's limit reaches Python as a panic
                 if isinstance(e, (KeyboardInterrupt, SystemExit)):
@@ -82,8 +92,6 @@ def tokens(docs: DataFrame, columns: list[str], tokenizer: str) -> DataFrame:
     limit_batches(docs.sparkSession)
 
     def run(batches):
-        from collections import Counter
-
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
@@ -140,28 +148,93 @@ def repeats(histogram: dict[int, int]) -> list[tuple[tuple[int, ...], int]]:
     return out
 
 
-def places(histogram: dict[int, int]) -> tuple[list[tuple], list[int]]:
-    """Rows (rest, low, high, kind, base, offset): ranks low <= rank < high of a length go,
-    for kind 0, to windows base + (rank - low) at that offset; for kind 1 they lie from
-    base on the line, one after another. And the line's last window's cuts."""
-    used, rows, window = dict.fromkeys(histogram, 0), [], 0
+class Rests:
+    """What is left to pack, by length: runs (rest, low, high, from) of equally long pieces,
+    the ones from `from` on of the rests of length `rest` with ranks low <= rank < high."""
+
+    def __init__(self):
+        self.runs: dict[int, list] = {}
+        self.count: dict[int, int] = {}
+        self.placed: list[tuple] = []
+
+    def add(self, length: int, rest: int, low: int, high: int, start: int) -> None:
+        self.runs.setdefault(length, []).append((rest, low, high, start))
+        self.count[length] = self.count.get(length, 0) + high - low
+
+    def take(self, length: int, n: int, window: int, offset: int, used: int) -> None:
+        """The first `used` tokens of n pieces of this length go to n windows from `window`
+        on, at this offset; what is left of the pieces is added."""
+        if n == self.count[length]:
+            del self.count[length]
+        else:
+            self.count[length] -= n
+        while n:
+            rest, low, high, start = self.runs[length].pop()
+            k = min(n, high - low)
+            if k < high - low:
+                self.runs[length].append((rest, low + k, high, start))
+            self.placed.append((rest, low, low + k, start, used, window, offset))
+            if used < length:
+                self.add(length - used, rest, low, low + k, start + used)
+            n, window = n - k, window + k
+
+    def rows(self) -> list[tuple]:
+        """(rest, low, high, [(from, length, window, offset)]), each rank of a rest in one
+        row; a rank's window is `window` and as many more as it is above low."""
+        by_rest: dict[int, list] = {}
+        for rest, *piece in self.placed:
+            by_rest.setdefault(rest, []).append(piece)
+        out = []
+        for rest, pieces in by_rest.items():
+            borders = sorted({x for p in pieces for x in p[:2]})
+            parts: dict[int, list] = {low: [] for low in borders}
+            at = {x: i for i, x in enumerate(borders)}
+            for low, high, start, length, window, offset in pieces:
+                for i in range(at[low], at[high]):
+                    parts[borders[i]].append((start, length, window + borders[i] - low, offset))
+            out += [(rest, low, high, sorted(parts[low])) for low, high in zip(borders, borders[1:]) if parts[low]]
+        return out
+
+
+def places(histogram: dict[int, int]) -> tuple[list[tuple], int]:
+    """Rests.rows() of all rests, and how many windows they take."""
+    used, left, window = dict.fromkeys(histogram, 0), Rests(), 0
     for combo, n in repeats(histogram):
         offset = 0
         for r in combo:
-            rows.append((r, used[r], used[r] + n, 0, window, offset))
+            left.placed.append((r, used[r], used[r] + n, 0, r, window, offset))
             used[r] += n
             offset += r
         window += n
-    line = window * WINDOW
-    for r in sorted(histogram):
-        if n := histogram[r] - used[r]:
-            rows.append((r, used[r], histogram[r], 1, line, 0))
-            line += n * r
-    last, cuts = line // WINDOW * WINDOW, []
+    for r, n in histogram.items():
+        if n > used[r]:
+            left.add(r, r, used[r], n, 0)
+    while sum(length * n for length, n in left.count.items()) >= WINDOW:
+        lengths, chosen, gap = sorted(left.count, reverse=True), Counter(), WINDOW
+        for length in lengths:
+            if fits := min(gap // length, left.count[length]):
+                chosen[length] = fits
+                gap -= fits * length
+        cut = next(x for x in reversed(lengths) if left.count[x] > chosen[x]) if gap else None
+        n = min(left.count[x] // (k + (x == cut)) for x, k in (chosen | ({cut: chosen[cut]} if cut else {})).items())
+        offset = 0
+        for length, k in chosen.items():
+            for _ in range(k):
+                left.take(length, n, window, offset, length)
+                offset += length
+        if cut:
+            left.take(cut, n, window, offset, gap)
+        window += n
+    size = sum(length * n for length, n in left.count.items())
     for bit in reversed(range(WINDOW.bit_length() - 1)):
-        if line - last & 1 << bit:
-            cuts.append((cuts[-1] if cuts else last) + (1 << bit))
-    return rows, [last, *cuts]
+        offset = 0
+        while size & 1 << bit and offset < 1 << bit:
+            length = min(left.count)
+            part = min(length, (1 << bit) - offset)
+            left.take(length, 1, window, offset, part)
+            offset += part
+        window += bool(size & 1 << bit)
+    return left.rows(), window
 
 
 def pack(docs: DataFrame, columns: list[str], tokenizer: str) -> DataFrame:
@@ -172,33 +245,23 @@ def pack(docs: DataFrame, columns: list[str], tokenizer: str) -> DataFrame:
     counts = written(read.groupBy("part", "rest").agg(F.count("*").alias("n"), F.sum(F.floor(F.col("doc_tokens") / WINDOW)).alias("full")))
     past = lambda *keys: Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     histogram = {r["rest"]: r["n"] for r in counts.where("rest > 0").groupBy("rest").agg(F.sum("n").alias("n")).collect()}  # at most WINDOW - 1 rows
-    rows, cuts = places(histogram)
-    last, ends = cuts[0], cuts[1:]
-    windows = last // WINDOW + len(ends)
+    rows, windows = places(histogram)
 
+    # counts by partition grow with the corpus, so they are not broadcast
     by_part = counts.groupBy("part").agg(F.sum("full").alias("n")).select("part", F.coalesce(F.sum("n").over(past()), F.lit(0)).alias("base"))
-    full = read.where(F.col("doc_tokens") >= WINDOW).join(written(by_part), "part")
+    full = read.where(F.col("doc_tokens") >= WINDOW).join(written(by_part).hint("merge"), "part")
     full = full.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.col("doc_tokens") / WINDOW).cast("int") - 1)))
     piece = lambda start, length: F.substring(F.col("ids"), (start * F.col("width") + 1).cast("int"), (length * F.col("width")).cast("int"))
     start = F.col("k").cast("long") * WINDOW
     full = full.select(*columns, start.alias("start"), F.lit(WINDOW).cast("long").alias("length"), piece(start, F.lit(WINDOW)).alias("ids"), "width", "doc_tokens", (F.lit(windows) + F.col("base") + F.col("full_before") + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
     by_rest = counts.where("rest > 0").select("part", "rest", F.coalesce(F.sum("n").over(past("rest")), F.lit(0)).alias("rank"))
-    table_ = spark.createDataFrame(rows, "rest int, low long, high long, kind int, base long, at long")  # at most 3 rows a combination and 1 a length
+    table_ = spark.createDataFrame(rows, "rest int, low long, high long, pieces array<struct<from:long,length:long,window:long,offset:long>>")  # by lengths alone
     begin = F.col("doc_tokens") - F.col("rest")
-    rest = read.where("rest > 0").withColumn("ids", piece(begin, F.col("rest"))).join(written(by_rest), ["part", "rest"])
+    rest = read.where("rest > 0").withColumn("ids", piece(begin, F.col("rest"))).join(written(by_rest).hint("merge"), ["part", "rest"])
     rest = rest.withColumn("rank", F.col("rank") + F.col("rest_before")).join(F.broadcast(table_), "rest").where("low <= rank AND rank < high")
-    s = F.when(F.col("kind") == 0, (F.col("base") + F.col("rank") - F.col("low")) * WINDOW + F.col("at")).otherwise(F.col("base") + (F.col("rank") - F.col("low")) * F.col("rest"))
-    rest = rest.withColumn("s", s).withColumn("e", F.col("s") + F.col("rest"))
-    border = F.array((F.floor(F.col("s") / WINDOW) + 1) * WINDOW, *[F.lit(x).cast("long") for x in ends])
-    inner = F.array_sort(F.array_distinct(F.filter(border, lambda b: (b > F.col("s")) & (b < F.col("e")))))
-    rest = rest.withColumn("from", F.concat(F.array("s"), inner)).withColumn("to", F.concat(inner, F.array("e")))
-    rest = rest.withColumn("cut", F.explode(F.arrays_zip("from", "to"))).withColumn("a", F.col("cut.from")).withColumn("length", F.col("cut.to") - F.col("cut.from"))
-    passed = F.array(*[F.lit(x).cast("long") for x in (last, *ends)])
-    in_last = F.filter(passed, lambda b: b <= F.col("a"))
-    seq = F.when(F.col("a") < last, F.floor(F.col("a") / WINDOW)).otherwise(F.lit(last // WINDOW) + F.size(in_last) - 1)
-    offset = F.when(F.col("a") < last, F.col("a") % WINDOW).otherwise(F.col("a") - F.array_max(in_last))
-    rest = rest.select(*columns, (begin + F.col("a") - F.col("s")).alias("start"), "length", piece(F.col("a") - F.col("s"), F.col("length")).alias("ids"), "width", "doc_tokens", seq.alias("sequence_id"), offset.alias("offset"))
+    rest = rest.withColumn("p", F.explode("pieces")).select("*", "p.from", "p.length", "p.window", "p.offset")
+    rest = rest.select(*columns, (begin + F.col("from")).alias("start"), "length", piece(F.col("from"), F.col("length")).alias("ids"), "width", "doc_tokens", (F.col("window") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset")
     return full.unionByName(rest)
 
 

@@ -16,7 +16,6 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 def check(rows, documents):
     """The contract: exact ids, each in one piece, sequences gapless and padded alike. Returns the padding."""
     slow = Tokenizer.from_file(TOKENIZER)
-    slow.encode_special_tokens = True
     want = defaultdict(int)
     ids = {}
     for doc_id, text, *_ in documents:
@@ -65,7 +64,6 @@ def test_empty_table(spark, tables):
 
 def test_encoder_equals_the_file():
     slow, fast = Tokenizer.from_file(TOKENIZER), packing.Encoder(TOKENIZER)
-    slow.encode_special_tokens = True
     assert fast.fast is not None
     for text in ("", " ", "a\n\n b", "<|endoftext|> x", "é😀 ünï", "1234 5678", " " * 3000 + "x", "\t\r\n" * 50, words(500, 1), "x" * 5000, "it's I'LL"):
         assert fast(text) == slow.encode(text, add_special_tokens=False).ids
@@ -90,3 +88,35 @@ def test_places_cover_every_rank_once():
     for r, n in histogram.items():
         spans = sorted((low, high) for x, low, high, *_ in rows if x == r)
         assert spans[0][0] == 0 and spans[-1][1] == n and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_greedy_rests_tile_windows():
+    """Rests packed greedily: every token in one place, full windows, then powers of two."""
+    rng = np.random.default_rng(2)
+    for trial in range(60):
+        lengths = rng.choice(1023, int(rng.integers(1, 40)), replace=False) + 1
+        histogram = {int(r): int(n) for r, n in zip(lengths, rng.integers(1, [3, 40, 2000][trial % 3], len(lengths)))}
+        rows, windows = packing.places(histogram)
+        filled, tokens = defaultdict(list), defaultdict(list)
+        for rest, low, high, pieces in rows:
+            for rank in range(low, high):
+                for start, length, window, offset in pieces:
+                    filled[window + rank - low].append((offset, length))
+                    tokens[rest, rank].append((start, length))
+        assert sorted(tokens) == sorted((r, i) for r, n in histogram.items() for i in range(n)) and sorted(filled) == list(range(windows))
+        for (rest, _), own in tokens.items():
+            assert sum(n for _, n in own) == rest and all(a + n == b for (a, n), (b, _) in zip(sorted(own), sorted(own)[1:]))
+        sizes = []
+        for _, own in sorted(filled.items()):
+            assert all(a + n == b for (a, n), (b, _) in zip(sorted(own), sorted(own)[1:])) and min(own)[0] == 0
+            sizes.append(sum(n for _, n in own))
+        left = sum(r * n for r, n in histogram.items()) % 1024
+        assert sizes == [1024] * (sum(r * n for r, n in histogram.items()) // 1024) + [1 << b for b in reversed(range(10)) if left & 1 << b]
+
+
+def test_special_tokens_in_texts(spark, tables):
+    documents = [(1, "a <|endoftext|> b<|endoftext|>", "en", "a"), (2, "<|endoftext|>", "en", "a"), (3, "plain", "en", "b")]
+    rows = packing.op2_packing(spark, tables(documents)).collect()
+    check(rows, documents)
+    slow = Tokenizer.from_file(TOKENIZER)
+    assert 50256 in slow.encode(documents[0][1], add_special_tokens=False).ids
