@@ -18,8 +18,13 @@ too few slots gets the rest at the end; slots beyond its blocks stay unused.
 Ranks and running sums are taken within (source, stretch) and then over a source's
 stretches, of which there are at most STRETCHES, so no source is dealt to one task.
 
-Null text: size 0, nothing taken. Null source: the last source. Null or repeated
-doc_id: each row counts; ties in the order go by size, where rows cannot differ.
+The mix is the blocks by slot: op6 gives each document's first slot, and the pipeline's
+stage writes its documents in that order, a text's start within a block breaking ties.
+
+Null text: size 0, nothing taken, no slot. Null source: the last source. Null or repeated
+doc_id: each row counts; ties in a source's order go by size and then by the text, so
+that only equal rows are interchangeable. Very long texts lie in as many blocks as they
+fill. Other columns are kept by the stage, whatever they are called.
 """
 
 from __future__ import annotations
@@ -58,13 +63,13 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def placed(sizes: DataFrame, sources: DataFrame) -> DataFrame:
-    """sizes with its source's columns and `start`, the words before it in its stream."""
+    """sizes without `tie`, with its source's columns and `start`, the words before it in its stream."""
     rows = sizes.withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("stretch", F.substring("order", 1, 3))
     before = running(rows, ["source", "stretch"], F.sum("size"), "before")
-    own = Window.partitionBy("source", "stretch").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("source", "stretch").orderBy("order", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("own", F.coalesce(F.sum("size").over(own), F.lit(0)))
     rows = null_safe(null_safe(rows, before, ["source", "stretch"]), sources, ["source"])
-    return rows.withColumn("start", F.col("before") + F.col("own")).drop("order", "stretch", "before", "own")
+    return rows.withColumn("start", F.col("before") + F.col("own")).drop("order", "stretch", "before", "own", "tie")
 
 
 def running(rows: DataFrame, keys: list[str], what, name: str) -> DataFrame:
@@ -102,9 +107,9 @@ def schedule(sources: DataFrame) -> DataFrame:
 
 
 def mix(sizes: DataFrame) -> DataFrame:
-    """sizes (a row id, doc_id, source, size) with source_size, target, and for each
-    pass 0 or 1 the words that the mix takes, always the document's first, and the
-    first slot that holds them (null if none)."""
+    """sizes (a row id, doc_id, source, size, tie) without tie, with source_size, target, and
+    for each pass 0 or 1 the words that the mix takes, always the document's first, their
+    place in the source's stream, and the first slot that holds them (null if none)."""
     sources = written(targets(sizes))
     rows = placed(sizes, sources).withColumn("pass", F.explode(F.array(F.lit(0), F.lit(1))))
     rows = rows.withColumn("a", F.col("start") + F.col("pass") * F.col("source_size")).withColumn("b", F.least(F.col("a") + F.col("size"), "words"))
@@ -112,47 +117,58 @@ def mix(sizes: DataFrame) -> DataFrame:
     pieces = rows.withColumn("rank", F.explode_outer(ranks))
     taken = F.least("b", (F.col("rank") + 1) * BLOCK) - F.greatest("a", F.col("rank") * BLOCK)
     joined = pieces.withColumn("piece", taken).join(schedule(sources), ["k", "rank"], "left")
-    keys = [*sizes.columns, "source_size", "target", "pass"]
-    return joined.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("piece"))), F.lit(0)).alias("taken"), F.min("slot").alias("first_slot"))
+    keys = [*(c for c in sizes.columns if c != "tie"), "source_size", "target", "pass"]
+    return joined.groupBy(*keys).agg(F.min("a").alias("place"), F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("piece"))), F.lit(0)).alias("taken"), F.min("slot").alias("first_slot"))
 
 
 def size_of(text) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def tie_of(text) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sizes = written(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")), with_row_id="row")
-    got = mix(sizes).groupBy("row", "doc_id", "size", "source_size", "target").agg(F.sum("taken").alias("taken"))
-    return got.select("doc_id", "size", "source_size", "target", "taken")
+    sizes = written(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), tie_of(F.col("text")).alias("tie")), with_row_id="row")
+    got = mix(sizes).groupBy("row", "doc_id", "size", "source_size", "target").agg(F.sum("taken").alias("taken"), F.min("first_slot").alias("first_slot"))
+    return got.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def mix_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document as often as the mix takes it; where the mix ends
-    within a document, its last copy is cut there."""
-    row, size, taken = fresh(docs, "__row", "__size", "__taken")
+    """Pipeline stage: each document as often as the mix takes it, in the order of the
+    slots; where the mix ends within a document, its last copy is cut there."""
+    row, size, taken, slot, place = fresh(docs, "__row", "__size", "__taken", "__slot", "__place")
     rows = written(docs, with_row_id=row)
-    sizes = rows.select(F.col(row).alias("row"), "doc_id", "source", size_of(F.col("text")).alias("size"))
-    got = mix(written(sizes)).where("taken > 0").select(F.col("row").alias(row), F.col("size").alias(size), F.col("taken").alias(taken))
+    sizes = rows.select(F.col(row).alias("row"), "doc_id", "source", size_of(F.col("text")).alias("size"), tie_of(F.col("text")).alias("tie"))
+    got = mix(written(sizes)).where("taken > 0").select(*[F.col(x).alias(y) for x, y in (("row", row), ("size", size), ("taken", taken), ("first_slot", slot), ("place", place))])
     words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col(taken).cast("int"))
     gaps = F.slice(F.split("text", WORD, -1), F.lit(1), F.col(taken).cast("int"))
     part = F.col(taken) < F.col(size)
     cut = F.array_join(F.zip_with(gaps, words, lambda g, w: F.concat(g, w)), "")
-    out = rows.join(got, row).withColumn("text", F.when(part, cut).otherwise(F.col("text")))
+    out = rows.join(written(got), row).withColumn("text", F.when(part, cut).otherwise(F.col("text")))
     out = out.withColumn("n_chars", F.when(part, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.repartitionByRange(slot).sortWithinPartitions(slot, place).select(*docs.columns)
 
 
 def oracle() -> str:
-    """The same in DuckDB by one running sum per source, without blocks or slots."""
-    return rf"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size FROM documents),
+    """The same in DuckDB: words by one running sum per source, slots by a range join."""
+    return rf"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size, md5(coalesce(text, '')) AS tie FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
-w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN {WEIGHTS[0]} WHEN 1 THEN {WEIGHTS[1]} ELSE {WEIGHTS[2]} END AS w FROM s),
+w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN {WEIGHTS[0]} WHEN 1 THEN {WEIGHTS[1]} ELSE {WEIGHTS[2]} END AS w FROM s),
 r AS (SELECT *, {MOST} * source_size / CAST(w AS DOUBLE) AS ratio FROM w),
 l AS (SELECT *, ({SHARE} * CAST(sum(source_size) OVER () AS DOUBLE) - CAST(coalesce(sum({MOST} * source_size) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
  / CAST(sum(w) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM r),
 v AS (SELECT min(level) FILTER (level <= ratio) AS top FROM (SELECT *, row_number() OVER (ORDER BY level <= ratio DESC, ratio, source NULLS LAST) AS n FROM l) WHERE n = 1),
-t AS (SELECT source, source_size, CASE WHEN ratio < top THEN CAST({MOST} * source_size AS DOUBLE) ELSE top * w END AS target FROM l, v),
-p AS (SELECT d.*, t.source_size, t.target, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
+t AS (SELECT source, k, source_size, CASE WHEN ratio < top THEN CAST({MOST} * source_size AS DOUBLE) ELSE top * w END AS target FROM l, v),
+q AS (SELECT k, quota, CAST(sum(quota) OVER (ORDER BY k) - quota AS BIGINT) AS low, CAST(sum(quota) OVER () AS BIGINT) AS n FROM (SELECT k, CAST(ceil(floor(target) / {BLOCK}) AS BIGINT) AS quota FROM t)),
+x AS (SELECT slot, (slot + 0.5::DOUBLE) * {PHI}::DOUBLE - floor((slot + 0.5::DOUBLE) * {PHI}::DOUBLE) AS x FROM (SELECT unnest(range(max(n))) AS slot FROM q)),
+g AS (SELECT k, quota, slot, row_number() OVER (PARTITION BY k ORDER BY slot) - 1 AS rank FROM x JOIN q ON quota > 0 AND x >= low / CAST(n AS DOUBLE) AND x < (low + quota) / CAST(n AS DOUBLE)),
+h AS (SELECT k, quota, n, got, CAST(coalesce(sum(quota - got) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS past
+ FROM (SELECT q.k, q.quota, n, (SELECT count(*) FROM g WHERE g.k = q.k) AS got FROM q) WHERE got < quota),
+b AS (SELECT k, rank, slot FROM g WHERE rank < quota UNION ALL SELECT k, got + i, n + past + i FROM (SELECT *, unnest(range(quota - got)) AS i FROM h)),
+p AS (SELECT d.*, t.k, t.source_size, t.target, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, d.size, d.tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(greatest(0, least(a + size, floor(target)) - a) + greatest(0, least(a + source_size + size, floor(target)) - a - source_size) AS BIGINT) AS taken FROM p"""
+SELECT doc_id, size, source_size, target, CAST(greatest(0, least(a + size, floor(target)) - a) + greatest(0, least(a + source_size + size, floor(target)) - a - source_size) AS BIGINT) AS taken,
+CASE WHEN size > 0 AND a < floor(target) THEN b.slot END AS first_slot FROM p LEFT JOIN b ON b.k = p.k AND b.rank = CAST(p.a AS BIGINT) // {BLOCK}"""

@@ -94,3 +94,30 @@ def test_stage_writes_what_was_taken(spark, tables, hostile):
     for r in mixing.op6_mixing(spark, folder).collect():
         want[r["doc_id"]] += r["taken"]
     assert count == {k: v for k, v in want.items() if v}
+
+
+def test_slots_order_the_mix(spark, small):
+    """Slots are used by one block each; the documents of any stretch of the mix have the sources' shares."""
+    got = [r for r in mixing.op6_mixing(spark, small).collect() if r["taken"]]
+    assert all(r["first_slot"] is not None for r in got)
+    rows = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    share, halves = defaultdict(float), [defaultdict(float), defaultdict(float)]
+    last = max(r["first_slot"] for r in got)
+    for r in got:
+        share[rows[r["doc_id"]]] = r["target"]
+        halves[2 * r["first_slot"] > last][rows[r["doc_id"]]] += min(r["taken"], r["size"])
+    total = sum(share.values())
+    for half in halves:
+        n = sum(half.values())
+        assert all(abs(half[s] / n - w / total) < 0.35 for s, w in share.items())
+
+
+def test_stage_keeps_the_order_of_slots(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    slot = {r["doc_id"]: r["first_slot"] for r in mixing.op6_mixing(spark, small).collect()}
+    seen, at = set(), []
+    for r in mixing.mix_documents(spark, docs, small).collect():
+        if r["doc_id"] not in seen:  # the first copy
+            seen.add(r["doc_id"])
+            at.append(slot[r["doc_id"]])
+    assert at == sorted(at) and len(at) > 100
