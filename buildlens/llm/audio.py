@@ -1,17 +1,24 @@
 """Media columns: texts as 8-bit sound, and audio features read from it.
 
 store() lays a text's UTF-8 bytes, filled with bytes 0 up to a positive multiple of
-64, into a WAV file of unsigned 8-bit mono samples, losslessly. describe() reads the
+64, into a WAV file of unsigned 8-bit mono samples, losslessly. features() reads the
 stored samples back and gives
 
 * the log-mel energies of the sound, resampled by a polyphase filter (3/4 of the
   rate) and cut into overlapped windows, as tensors of the fixed shape
-  FRAMES x BANDS with their time spans (the last one filled with SILENCE), and
+  FRAMES x BANDS with their time spans (the last one filled with SILENCE), in steps of
+  STEP, and
 * its active time spans by hysteresis: a span begins where a window's energy exceeds
   the higher threshold and reaches as far as the lower one is exceeded.
 
-Every document is worked on alone, in blocks of windows, so equal texts give equal
-values and memory does not grow with a text. Null or empty text: 64 bytes 0.
+These are stored in turn, and summaries() reads the tensors back as Arrow's fixed-shape
+tensors: the number of windows, of active spans and their milliseconds, and each band's
+mean energy.
+
+Every document is worked on alone, so equal texts give equal values. A sound is
+resampled and transformed in pieces of BLOCK windows; besides them a text costs its own
+bytes and its tensors, about half as many. Null or empty text: 64 bytes 0. Null or
+repeated doc_id, repeated rows: each row is worked on. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,16 +30,19 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import table, with_python, written
+from .common import limit_batches, table, with_python, written
 
 UNIT = 64
 RATE = 8000
 UP, DOWN, TAPS = 3, 4, 12  # taps of each phase
 WINDOW, HOP, BANDS, FRAMES = 256, 128, 20, 32
 SILENCE = -10.0
-#: Windows worked on at once, a multiple of FRAMES.
-BLOCK = 4096
+#: Windows worked on at once, a multiple of FRAMES whose samples are whole numbers at both rates.
+BLOCK = 3072
+#: Stored energies are multiples of this, in decades: a sixth of a decibel.
+STEP = 1 / 64
 
 
 def wav(data: bytes | None) -> bytes:
@@ -117,27 +127,45 @@ def milliseconds(window: int) -> int:
     return window * HOP * DOWN * 1000 // (UP * RATE)
 
 
+def energies(data: bytes):
+    """log_mel() of the whole sound, made in pieces: each is resampled with the samples
+    around it that its filter and its last window reach."""
+    import numpy as np
+
+    margin = 4 * DOWN  # at least TAPS - 1
+    size, length = BLOCK * HOP * DOWN // UP, WINDOW * DOWN // UP + 2 * margin
+    out, n = [], -(-len(data) * UP // DOWN)
+    windows = 1 + max(0, -(-(n - WINDOW) // HOP))
+    for first in range(0, windows, BLOCK):
+        at = first // BLOCK * size
+        before = min(at, margin)
+        part = np.frombuffer(data, np.uint8, count=min(len(data), at + size + length) - at + before, offset=at - before)
+        y = resampled((part.astype(np.float32) - 128) / 128)[before * UP // DOWN :]
+        count = min(BLOCK, windows - first)
+        out.append(log_mel(y[: (count - 1) * HOP + WINDOW])[:count])
+    return np.concatenate(out)
+
+
 def describe(media: bytes) -> tuple:
     import numpy as np
 
     data = samples(media)
-    mel = log_mel(resampled((np.frombuffer(data, np.uint8).astype(np.float32) - 128) / 128))
+    mel = energies(data)
     spans = active(mel.max(axis=1))
     full = np.full((-(-len(mel) // FRAMES) * FRAMES, BANDS), SILENCE, np.float32)
-    full[: len(mel)] = mel
+    full[: len(mel)] = np.round(mel / STEP) * STEP
     tensors = [(milliseconds(i), milliseconds(min(i + FRAMES, len(mel))), full[i : i + FRAMES].ravel()) for i in range(0, len(mel), FRAMES)]
-    feature = f"{len(mel)}:{len(spans)}:{sum(milliseconds(b) - milliseconds(a) for a, b in spans)}:" + ",".join(f"{x:.2f}" for x in mel.mean(axis=0, dtype=np.float64))
     times = [(milliseconds(a), milliseconds(b)) for a, b in spans]
-    return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), times, [{"start_ms": a, "end_ms": b, "values": v} for a, b, v in tensors], feature
+    return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(mel), times, [{"start_ms": a, "end_ms": b, "values": v} for a, b, v in tensors]
 
 
 FEATURES = [
     ("payload_bytes", "long"),
     ("payload_sha256", "string"),
     ("tail_crc32", "long"),
+    ("windows", "long"),
     ("spans", "array<struct<start_ms:long,end_ms:long>>"),
     ("tensors", "array<struct<start_ms:long,end_ms:long,values:array<float>>>"),
-    ("feature", "string"),
 ]
 
 
@@ -148,13 +176,13 @@ def store(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def features(media: DataFrame) -> DataFrame:
-    """media without its column media, with what describe() finds there."""
+    """media without its column media, with what describe() finds there: tensors and spans."""
     return with_python(media, "media", describe_row, FEATURES)
 
 
 def describe_row(media: bytes) -> tuple:
-    size, sha, crc, spans, tensors, feature = describe(media)
-    return size, sha, crc, [{"start_ms": a, "end_ms": b} for a, b in spans], tensors, feature
+    size, sha, crc, windows, spans, tensors = describe(media)
+    return size, sha, crc, windows, [{"start_ms": a, "end_ms": b} for a, b in spans], tensors
 
 
 def as_tensors(column):
@@ -166,7 +194,35 @@ def as_tensors(column):
     return pa.ExtensionArray.from_storage(kind, flat)
 
 
+def summaries(stored: DataFrame) -> DataFrame:
+    """stored features with `feature`, read from their tensors and spans, in place of these."""
+    kept = [c for c in stored.columns if c not in ("windows", "spans", "tensors")]
+    busy = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end_ms"] - s["start_ms"])
+    rows = stored.select(*kept, F.concat_ws(":", "windows", F.size("spans"), busy).alias("__head"), "windows", "tensors")
+    schema = T.StructType([*(stored.schema[c] for c in kept), T.StructField("feature", T.StringType())])
+    limit_batches(stored.sparkSession)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            column = batch.column(len(kept) + 2)
+            frames = as_tensors(column).to_numpy_ndarray().reshape(-1, BANDS)
+            ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)) * FRAMES
+            starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+            made = []
+            for head, n, at in zip(batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist(), starts.tolist()):
+                made.append(f"{head}:" + ",".join(f"{x:.2f}" for x in frames[at : at + n].mean(axis=0, dtype=np.float64)))
+            yield pa.RecordBatch.from_arrays([batch.column(i).cast(arrow.field(i).type) for i in range(len(kept))] + [pa.array(made, pa.string())], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
 def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = written(store(table(spark, sf_dir, "documents"), ["doc_id"]))
     media = stored.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
-    return features(media).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    rows = summaries(written(features(media)))
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

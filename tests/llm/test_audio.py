@@ -85,3 +85,26 @@ def test_tensors_have_one_shape_and_spans(spark, tables):
     for tensors in rows.column("tensors").to_pylist():
         assert all(len(t["values"]) == audio.FRAMES * audio.BANDS for t in tensors)
         assert all(a["end_ms"] == b["start_ms"] for a, b in zip(tensors, tensors[1:]))
+
+
+@pytest.mark.parametrize("n", [64, 320, 41024, 64 * 30011])
+def test_pieces_against_the_whole(monkeypatch, n):
+    data = np.random.default_rng(n).integers(0, 256, n, np.uint8).tobytes()
+    whole = audio.log_mel(audio.resampled((np.frombuffer(data, np.uint8).astype(np.float32) - 128) / 128))
+    monkeypatch.setattr(audio, "BLOCK", 96)
+    got = audio.energies(data)
+    assert got.shape == whole.shape and np.allclose(got, whole, atol=1e-3)
+
+
+def test_feature_is_read_from_stored_tensors(spark, tables):
+    """Against plain definitions: every band's mean, and the spans, of the whole sound."""
+    texts = {1: "word " * 9000, 2: "x", 3: None, 4: "Grüße! " * 300 + "." * 4000}
+    rows = audio.op7_audio(spark, tables([(i, t, "en", "a") for i, t in texts.items()])).collect()
+    for r in rows:
+        data = audio.samples(audio.wav((texts[r["doc_id"]] or "").encode()))
+        mel = audio.log_mel(audio.resampled((np.frombuffer(data, np.uint8).astype(np.float32) - 128) / 128))
+        windows, spans, busy, means = r["feature"].split(":")
+        own = audio.active(mel.max(axis=1))
+        assert (int(windows), int(spans)) == (len(mel), len(own))
+        assert int(busy) == sum(audio.milliseconds(b) - audio.milliseconds(a) for a, b in own)
+        assert np.allclose([float(x) for x in means.split(",")], mel.mean(axis=0), atol=audio.STEP / 2 + 0.006)
