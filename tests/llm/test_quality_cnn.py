@@ -17,9 +17,8 @@ def auc(scores, labels):
 def test_gradient_against_differences():
     model = {k: v.astype(np.float64) for k, v in cnn.start().items()}
     data = words(200, 3).encode()
-    repeats = cnn.repetition(cnn.padded(data)).astype(np.float64)
     grad = {k: np.zeros_like(v) for k, v in model.items()}
-    cnn.gradient(model, data, 1, repeats, grad)
+    cnn.gradient(model, data, 1, grad)
 
     def loss():
         return -np.log(cnn.score(data, model))
@@ -65,3 +64,20 @@ def test_hostile_rows(spark, tables, hostile):
 def test_empty_tables(spark, tables, hostile):
     assert cnn.op8_quality_cnn(spark, tables()).collect() == []
     assert all(r["score"] == 0.5 for r in cnn.op8_quality_cnn(spark, tables(hostile)).collect())
+
+
+def test_score_against_the_plain_definition():
+    """Every stride's window of bytes through every filter, chunk by chunk, in plain loops."""
+    model = cnn.start()
+    for data in (b"", b"a", words(90, 8).encode(), b"x" * 700):
+        text = list(data) + [cnn.BLANK] * (max(1, -(-len(data) // cnn.BLOCK)) * cnn.BLOCK - len(data)) + [cnn.BLANK] * cnn.STRIDE
+        acts = []
+        for at in range(0, len(text) - cnn.STRIDE, cnn.STRIDE):
+            window = np.concatenate([model["embed"][b] for b in text[at : at + cnn.WIDTH]])
+            acts.append(np.maximum(window @ model["filter"] + model["bias"], 0))
+        per = cnn.BLOCK // cnn.STRIDE
+        n = len(acts) // per
+        spans = [(i * per, (i + 2) * per) for i in range(n - 1)] or [(0, per)]
+        hidden = [np.maximum(np.mean(acts[a:b], axis=0) @ model["chunk"] + model["chunk_bias"], 0) for a, b in spans]
+        z = np.max(hidden, axis=0) @ model["out"] + model["out_bias"][0]
+        assert abs(cnn.score(data, model) - 1 / (1 + np.exp(-z))) < 1e-5
