@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ancestors, node_kind, trimmed, under
+from .graph import ranked
 
 
 def outputs(commands: DataFrame) -> DataFrame:
@@ -126,6 +127,12 @@ def queue_order(jobs: DataFrame, by_name: bool = False) -> DataFrame:
     return jobs.orderBy(first, F.desc("name") if by_name else F.col("arrival"), "arrival")
 
 
+def placed(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows with `place`, from 1 in this order of ascending values, ranked in ranges in parallel."""
+    named = F.struct(*[x.alias(f"o{i}") for i, x in enumerate(order)])
+    return ranked(rows.withColumn("__all", F.lit(0)).withColumn("__order", named), "__all", "__order").drop("__all", "__order").withColumnRenamed("rank", "place")
+
+
 def action_order(actions: DataFrame) -> DataFrame:
     """Priority, then the earlier build, then the earlier piece of work."""
     return actions.orderBy(F.desc("priority"), "build_id", "work_id")

@@ -84,8 +84,17 @@ def doubled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def acyclic(edges: DataFrame) -> DataFrame:
     """What is left of the edges after removing, again and again, those whose key has no
-    dependent and those whose dep has no dependency: empty, unless there are cycles."""
+    dependent and those whose dep has no dependency: empty, unless there are cycles. Where
+    each key has at most one dependency, it is what jumps of more edges than there are
+    still end at."""
     left = written(edges.select("key", "dep").distinct())
+    if single_parent(left):
+        jump = left.select("key", F.col("dep").alias("up"))
+        for _ in range(left.count().bit_length() + 1):
+            if jump.isEmpty():
+                break
+            jump = written(jump.join(jump.select(F.col("key").alias("up"), F.col("up").alias("__up")), "up").select("key", F.col("__up").alias("up")))
+        return left.join(jump.select(F.col("up").alias("key")).distinct(), "key", "left_semi")
     n, before = left.count(), -1
     while n and n != before:
         before = n
@@ -122,26 +131,29 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def longest_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(key, level, total): the greatest sum of w over the key's paths of dependencies.
-    Raises ValueError if there is a cycle.
+    Raises ValueError if there is a cycle. A dependency that is no node is a leaf without
+    weight: it has no row, but counts as a level of what depends on it.
 
     In each round the keys whose dependencies are all placed are placed, with the sums
-    of only that round's edges shuffled."""
-    edges = written(edges.select("key", "dep").distinct())
+    of only that round's edges shuffled; if none is ready but some wait, there is a cycle."""
+    edges = written(edges.select("key", "dep").distinct().join(nodes.select("key"), "key", "left_semi"))
     if single_parent(edges):
         return doubled(nodes, edges)
-    if not acyclic(edges).isEmpty():
-        raise ValueError("the graph has cycles")
-    weights = nodes.select("key", F.col("w").cast("decimal(38,2)").alias("w"))
-    state = written(weights.join(edges.groupBy("key").agg(F.count("*").alias("open")), "key", "left").select("key", "w", F.coalesce("open", F.lit(0)).alias("open"), F.lit(0).cast("decimal(38,2)").alias("best")))
+    inner = nodes.select("key", F.col("w").cast("decimal(38,2)").alias("w"), F.lit(True).alias("inner"))
+    outer = edges.select(F.col("dep").alias("key")).distinct().join(nodes.select("key"), "key", "left_anti")
+    weights = inner.unionByName(outer.select("key", F.lit(0).cast("decimal(38,2)").alias("w"), F.lit(False).alias("inner")))
+    state = written(weights.join(edges.groupBy("key").agg(F.count("*").alias("open")), "key", "left").select("key", "w", "inner", F.coalesce("open", F.lit(0)).alias("open"), F.lit(0).cast("decimal(38,2)").alias("best")))
     placed, level = None, 0
     while True:
-        ready = written(state.where("open = 0").select("key", F.lit(level).cast("long").alias("level"), (F.col("best") + F.col("w")).cast("decimal(38,2)").alias("total")))
+        ready = written(state.where("open = 0").select("key", "inner", F.lit(level).cast("long").alias("level"), (F.col("best") + F.col("w")).cast("decimal(38,2)").alias("total")))
         if ready.isEmpty():
-            return placed if placed is not None else ready
+            if not state.isEmpty():
+                raise ValueError("the graph has cycles")
+            return (placed if placed is not None else ready).where("inner").drop("inner")
         placed = ready if placed is None else placed.unionByName(ready)
         fed = edges.join(ready.select(F.col("key").alias("dep"), "total"), "dep").groupBy("key").agg(F.count("*").alias("n"), F.max("total").alias("m"))
         state = state.where("open > 0").join(fed, "key", "left")
-        state = written(state.select("key", "w", (F.col("open") - F.coalesce("n", F.lit(0))).alias("open"), F.greatest("best", F.coalesce("m", F.lit(0))).cast("decimal(38,2)").alias("best")))
+        state = written(state.select("key", "w", "inner", (F.col("open") - F.coalesce("n", F.lit(0))).alias("open"), F.greatest("best", F.coalesce("m", F.lit(0))).cast("decimal(38,2)").alias("best")))
         level += 1
 
 

@@ -27,6 +27,14 @@ from .history import collected, drop_single_use, run_reasons
 Compute = Callable[[DataFrame], DataFrame]
 
 
+class MissingRules(ValueError):
+    """keys: the first of the demanded keys that no rule is declared for."""
+
+    def __init__(self, keys: list[str]):
+        super().__init__(f"no rule for: {', '.join(keys)}")
+        self.keys = keys
+
+
 class Cycle(ValueError):
     """path: the keys of one cycle, the first repeated at the end."""
 
@@ -38,14 +46,15 @@ class Cycle(ValueError):
 def build(goals: DataFrame, rules: DataFrame, prior: DataFrame, edges: DataFrame, valid: DataFrame, compute: Compute, epoch: int) -> DataFrame:
     """(key, value, signature, built_at, computed_at, reason, round) of each demanded key.
     reason: never-built, signature-changed, invalid-value, input-rebuilt (these ran) or
-    up-to-date. A rule of two declarations, or a cycle, is an error."""
+    up-to-date. A rule of two declarations, a demanded key without a rule (inputs have rules
+    too), or a cycle, is an error."""
     if not rules.groupBy("key").count().where("count > 1").isEmpty():
         raise ValueError("a rule is declared more than once")
     edges = written(drop_single_use(edges))
     wanted = written(graph.closure(goals, edges).select("key"))
     edges = written(edges.join(wanted, "key", "left_semi"))
-    if not graph.acyclic(edges).isEmpty():
-        raise Cycle(graph.cycle_path(edges, goals.agg(F.min("key")).first()[0]))
+    if lost := [r["key"] for r in wanted.join(rules, "key", "left_anti").select("key").orderBy("key").limit(20).collect()]:
+        raise MissingRules(lost)
     reasons = run_reasons(rules.join(wanted, "key", "left_semi"), prior, valid)
     open_ = edges.groupBy("key").agg(F.count("*").alias("open"))
     before = prior.select("key", F.col("value").alias("old"), F.col("built_at").alias("old_built"), F.col("computed_at").alias("old_computed"))
@@ -63,6 +72,8 @@ def build(goals: DataFrame, rules: DataFrame, prior: DataFrame, edges: DataFrame
         ready = waiting.where("open = 0").withColumn("reason", F.coalesce("reason", F.when(F.col("late"), "input-rebuilt").otherwise("up-to-date")))
         ready = written(ready)
         if ready.isEmpty():
+            if not waiting.where("open > 0").isEmpty():
+                raise Cycle(graph.cycle_path(edges, goals.agg(F.min("key")).first()[0]))
             return done
         run = ready.where("reason <> 'up-to-date'").select("key")
         got = compute(inputs_of(run, edges, done))

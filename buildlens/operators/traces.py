@@ -14,10 +14,12 @@ STATUS = {"scanning": "command-scanning", "up_to_date": "command-up-to-date", "s
 
 def intervals(events: DataFrame, lane: str = "lane", order: str = "ts") -> DataFrame:
     """Begin and end rows of a profile (ph = B or E) as (lane, name, begin, end): in one
-    lane each end closes the begin just before it."""
-    w = Window.partitionBy(lane).orderBy(order)
-    rows = events.withColumn("__next", F.lead("ph").over(w)).withColumn("end", F.when(F.col("__next") == "E", F.lead(order).over(w)))
-    return rows.where("ph = 'B'").select(lane, "name", F.col(order).alias("begin"), "end")
+    lane each end closes the begin just before it. Rows are ranked in ranges of time, so a
+    lane is not one task, and a begin meets the next rank of its lane in a join."""
+    rows = written(ranked(events.select(lane, "name", "ph", order), lane, order))
+    ends = rows.where("ph = 'E'").select(F.col(lane).alias("__lane"), (F.col("rank") - 1).alias("__rank"), F.col(order).alias("end"))
+    starts = rows.where("ph = 'B'")
+    return starts.join(ends, F.col(lane).eqNullSafe(F.col("__lane")) & (F.col("rank") == F.col("__rank")), "left").select(lane, "name", F.col(order).alias("begin"), "end")
 
 
 def until_next(events: DataFrame, lane: str, order: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import data_queries, graph_queries
+from . import data_queries, graph_queries, value_queries
 
 FLAGSHIP = "critical_path_total"
-QUERIES: dict = graph_queries.QUERIES | data_queries.QUERIES
-ORACLES: dict[str, str] = graph_queries.ORACLES | data_queries.ORACLES
+QUERIES: dict = graph_queries.QUERIES | data_queries.QUERIES | value_queries.QUERIES
+ORACLES: dict[str, str] = graph_queries.ORACLES | data_queries.ORACLES | value_queries.ORACLES

@@ -167,13 +167,13 @@ def ownership_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shipped(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where((F.year("l_shipdate") == year) & (F.col("l_linenumber") <= 2))
+    rows = table(spark, sf_dir, "lineitem").where(F.year("l_shipdate") == year)
     path = F.when(F.col("l_partkey") % 13 == 0, lenses.named("p", "l_partkey")).otherwise(F.concat(F.lit("/"), F.col("l_returnflag"), F.lit("/p"), F.col("l_partkey").cast("string")))
     return rows.select(path.alias("path"))
 
 
 def _shipped_sql(year: int) -> str:
-    return f"SELECT CASE WHEN l_partkey % 13 = 0 THEN 'p' || l_partkey ELSE '/' || l_returnflag || '/p' || l_partkey END AS path FROM lineitem WHERE year(l_shipdate) = {year} AND l_linenumber <= 2"
+    return f"SELECT CASE WHEN l_partkey % 13 = 0 THEN 'p' || l_partkey ELSE '/' || l_returnflag || '/p' || l_partkey END AS path FROM lineitem WHERE year(l_shipdate) = {year}"
 
 
 STALE = f"stale AS ({_shipped_sql(1998)} EXCEPT {_shipped_sql(1999)})"
@@ -296,20 +296,15 @@ def process_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.aggregate(rows)
 
 
-def _place(rows: DataFrame, order) -> DataFrame:
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)))
-
-
-@query("""SELECT CAST(row_number() OVER (ORDER BY CASE WHEN o_orderpriority LIKE '1%' THEN 0 ELSE 1 END, o_orderkey) AS INTEGER) AS place, 'O' || o_orderkey AS name FROM orders QUALIFY place <= 200""")
+@query("""SELECT CAST(row_number() OVER (ORDER BY CASE WHEN o_orderpriority LIKE '1%' THEN 0 ELSE 1 END, o_orderkey) AS INTEGER) AS place, 'O' || o_orderkey AS name FROM orders""")
 def ready_queue_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 200 jobs of the queue."""
+    """Each job's place in the queue."""
     jobs = table(spark, sf_dir, "orders").select(lenses.named("O", "o_orderkey").alias("name"), F.col("o_orderpriority").startswith("1").alias("priority"), F.col("o_orderkey").alias("arrival"))
-    top = commands.queue_order(jobs).limit(200)
-    return _place(top, [F.when(F.col("priority"), 0).otherwise(1), "arrival"]).select("place", "name")
+    return commands.placed(jobs, F.when(F.col("priority"), 0).otherwise(1), F.col("arrival")).select(F.col("place").cast("int").alias("place"), "name")
 
 
-@query("""SELECT CAST(row_number() OVER (ORDER BY o_orderpriority DESC, o_custkey, o_orderkey) AS INTEGER) AS place, o_orderkey AS work_id FROM orders QUALIFY place <= 200""")
+@query("""SELECT CAST(row_number() OVER (ORDER BY o_orderpriority DESC, o_custkey, o_orderkey) AS INTEGER) AS place, o_orderkey AS work_id FROM orders""")
 def action_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 200 actions."""
-    actions = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("priority"), F.col("o_custkey").alias("build_id"), F.col("o_orderkey").alias("work_id"))
-    return _place(commands.action_order(actions).limit(200), [F.desc("priority"), "build_id", "work_id"]).select("place", "work_id")
+    """Each action's place; priorities are told apart by their first digit."""
+    actions = table(spark, sf_dir, "orders").select(F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"), F.col("o_custkey").alias("build_id"), F.col("o_orderkey").alias("work_id"))
+    return commands.placed(actions, -F.col("priority"), F.col("build_id"), F.col("work_id")).select(F.col("place").cast("int").alias("place"), "work_id")

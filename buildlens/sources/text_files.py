@@ -24,7 +24,9 @@ def binary_files(spark: SparkSession, path: str) -> DataFrame:
 
 # Make-style dependency files
 
-_MAKE_WORD = r"(?:\\[\s\S]|\$\$|[^\s\\])+"
+# Repeated alternatives are possessive: Java walks them in a loop, where it would go one
+# call deeper for each character of a long word or line otherwise.
+_MAKE_WORD = r"(?:\\[\s\S]|\$\$|[^\s\\])++"
 
 
 def _unescaped(word: Column) -> Column:
@@ -90,7 +92,7 @@ def dependency_info(files: DataFrame) -> DataFrame:
 
 def trace_events(lines: DataFrame) -> DataFrame:
     """schema.TRACE_EVENTS of lines (seq, value); other lines are left out."""
-    args = F.regexp_extract_all("value", F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1))
+    args = F.regexp_extract_all("value", F.lit(r'"((?:[^"\\]|\\.)*+)"'), F.lit(1))
     clean = F.transform(args, lambda a: F.regexp_replace(a, r"\\(.)", "$1"))
     rows = lines.where(F.col("value").rlike(r'^\s*\{\s*"')).select("seq", clean.alias("a"))
     return rows.select("seq", F.get("a", F.lit(0)).alias("tag"), *[F.get("a", F.lit(i)).alias(f"a{i}") for i in (1, 2, 3)])
@@ -120,7 +122,7 @@ def snapshot(spark: SparkSession, path: str, checksums: bool = False) -> DataFra
 
 # Manifests of build, rule, pool, default and include lines with indented bindings
 
-_PATH = r"(?:\$[\s\S]|[^\s$:|])+"
+_PATH = r"(?:\$[\s\S]|[^\s$:|])++"
 
 
 def manifest_lines(files: DataFrame) -> DataFrame:
@@ -142,30 +144,43 @@ def bindings(lines: DataFrame) -> DataFrame:
 
 
 def scopes(lines: DataFrame) -> DataFrame:
-    """(file, scope): a file's variables, each expanded with those before it."""
+    """(file, scope, steps): a file's variables at its end, and after each of its lines
+    that sets one (ARRAY<STRUCT<line, name, value>>), expanded with those before it."""
     rows = bindings(lines).where("word = 'variable'")
     lists = rows.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line", "name", "value"))).alias("vars"))
-    empty = F.create_map().cast("map<string,string>")
+    empty, steps = F.create_map().cast("map<string,string>"), "array<struct<line:int,name:string,value:string>>"
 
     def add(acc, v):
-        rest = F.map_filter(acc, lambda k, _: k != v["name"])
-        return F.map_concat(rest, F.create_map(v["name"], expand(v["value"], acc)))
+        value = expand(v["value"], acc["scope"])
+        rest = F.map_filter(acc["scope"], lambda k, _: k != v["name"])
+        step = F.struct(v["line"].alias("line"), v["name"].alias("name"), value.alias("value"))
+        return F.struct(F.map_concat(rest, F.create_map(v["name"], value)).alias("scope"), F.concat(acc["steps"], F.array(step)).cast(steps).alias("steps"))
 
-    return lists.select("file", F.aggregate("vars", empty, add).alias("scope"))
+    first = F.struct(empty.alias("scope"), F.array().cast(steps).alias("steps"))
+    return lists.select("file", F.aggregate("vars", first, add).alias("all")).select("file", "all.scope", "all.steps")
+
+
+def scope_at(steps: Column, line: Column) -> Column:
+    """The variables that are set before a line: of each name the last value."""
+    before = F.reverse(F.filter(steps, lambda s: s["line"] < line))
+    names = F.transform(before, lambda s: s["name"])
+    last = F.filter(before, lambda s, i: F.array_position(names, s["name"]) == i + 1)
+    return F.map_from_arrays(F.transform(last, lambda s: s["name"]), F.transform(last, lambda s: s["value"]))
 
 
 def build_statements(lines: DataFrame) -> DataFrame:
-    """(file, statement, rule, outputs, inputs, implicit, order_only, attrs): paths and
-    bindings are expanded in the file's scope."""
+    """(file, statement, rule, outputs, inputs, implicit, order_only, attrs, scope): paths
+    and bindings are expanded with what the file has set before the statement."""
     head = lines.where("word = 'build'")
-    parts = r"^build\s+((?:\$[\s\S]|[^:$])+):\s*([A-Za-z0-9_.-]+)([\s\S]*)$"
-    rows = head.select("file", "statement", F.regexp_extract("text", parts, 1).alias("outs"), F.regexp_extract("text", parts, 2).alias("rule"), F.regexp_extract("text", parts, 3).alias("ins"))
-    rows = rows.join(scopes(lines), "file", "left").withColumn("scope", F.coalesce("scope", F.create_map().cast("map<string,string>")))
+    parts = r"^build\s+((?:\$[\s\S]|[^:$])++):\s*([A-Za-z0-9_.-]+)([\s\S]*)$"
+    rows = head.select("file", "statement", "line", F.regexp_extract("text", parts, 1).alias("outs"), F.regexp_extract("text", parts, 2).alias("rule"), F.regexp_extract("text", parts, 3).alias("ins"))
+    rows = rows.join(scopes(lines).select("file", "steps"), "file", "left")
+    rows = rows.withColumn("scope", F.coalesce(scope_at(F.col("steps"), F.col("line")), F.create_map().cast("map<string,string>")))
     paths = lambda c: F.transform(F.regexp_extract_all(c, F.lit(_PATH), F.lit(0)), lambda p: expand(p, F.col("scope")))
     section = lambda c, pattern: F.regexp_extract(c, pattern, 1)
     own = bindings(lines).where("word = 'binding'").groupBy("file", "statement").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("own"))
     rows = rows.join(own, ["file", "statement"], "left").withColumn("own", F.coalesce("own", F.create_map().cast("map<string,string>")))
-    plain, piped, ordered = r"^((?:\$[\s\S]|[^|$])*)", r"^(?:\$[\s\S]|[^|$])*\|((?:\$[\s\S]|[^|$])+)", r"\|\|([\s\S]*)$"
+    plain, piped, ordered = r"^((?:\$[\s\S]|[^|$])*+)", r"^(?:\$[\s\S]|[^|$])*+\|((?:\$[\s\S]|[^|$])++)", r"\|\|([\s\S]*)$"
     attrs = F.transform_values("own", lambda _, v: expand(v, F.col("scope")))
     return rows.select(
         "file", "statement", "rule",

@@ -206,3 +206,44 @@ def test_path_validation(spark):
     path = spark.createDataFrame([(0, "A"), (1, "B"), (2, "C")], "ordinal int, key string")
     edges = spark.createDataFrame([("B", "A")], "key string, dep string")
     assert {r["key"]: r["ok"] for r in graph.validate_path(path, edges).collect()} == {"A": True, "B": True, "C": False}
+
+
+def test_dependencies_that_are_no_nodes(spark):
+    """They are leaves without weight, whatever the rest of the graph is like."""
+    nodes = spark.createDataFrame([(k, 1) for k in "ABCD"], "key string, w int")
+    edges = [("A", "B"), ("B", "C"), ("A", "X")]
+    for more in ([], [("D", "A"), ("D", "B")]):
+        rows = graph.longest_paths(nodes, spark.createDataFrame(edges + more, "key string, dep string")).collect()
+        got = {r["key"]: (r["level"], float(r["total"])) for r in rows}
+        assert {k: got[k] for k in "ABC"} == {"A": (2, 3.0), "B": (1, 2.0), "C": (0, 1.0)}
+        assert got["D"] == ((3, 4.0) if more else (0, 1.0))
+    single = graph.longest_paths(nodes, spark.createDataFrame([("A", "X"), ("B", "A"), ("X", "C")], "key string, dep string")).collect()
+    assert {r["key"]: (r["level"], float(r["total"])) for r in single} == {"A": (1, 1.0), "B": (2, 2.0), "C": (0, 1.0), "D": (0, 1.0)}
+
+
+def test_cycles_in_every_shape(spark):
+    nodes = spark.createDataFrame([(k, 1) for k in "ABCDE"], "key string, w int")
+    ring = [("A", "B"), ("B", "C"), ("C", "A"), ("D", "A")]
+    for more in ([], [("E", "A"), ("E", "B")], [("B", "E")]):
+        edges = spark.createDataFrame(ring + more, "key string, dep string")
+        assert {r["key"] for r in graph.on_cycles(edges).collect()} == {"A", "B", "C"}
+        with pytest.raises(ValueError, match="cycles"):
+            graph.longest_paths(nodes, edges).collect()
+    assert graph.on_cycles(spark.createDataFrame([("A", "A")], "key string, dep string")).collect()[0]["key"] == "A"
+
+
+def test_build_names_keys_without_a_rule(spark):
+    rules = spark.createDataFrame([("A", "s")], "key string, signature string")
+    prior = spark.createDataFrame([], "key string, value string, signature string, built_at long, computed_at long")
+    edges = spark.createDataFrame([("A", 0, "B", False, False)], "key string, ordinal int, dep string, order_only boolean, single_use boolean")
+    valid = spark.createDataFrame([], "key string, ok boolean")
+    goals = spark.createDataFrame([("A",)], "key string")
+    compute = lambda run: run.select("key", F.lit("v").alias("value"))
+    with pytest.raises(incremental.MissingRules, match="no rule for: B"):
+        incremental.build(goals, rules, prior, edges, valid, compute, 1)
+    both = rules.union(spark.createDataFrame([("B", "s")], rules.schema))
+    assert {r["key"] for r in incremental.build(goals, both, prior, edges, valid, compute, 1).collect()} == {"A", "B"}
+    ring = edges.union(spark.createDataFrame([("B", 0, "A", False, False)], edges.schema))
+    with pytest.raises(incremental.Cycle) as e:
+        incremental.build(goals, both, prior, ring, valid, compute, 1)
+    assert e.value.path == ["A", "B", "A"]

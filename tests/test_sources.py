@@ -202,3 +202,23 @@ def test_node_values(spark):
     results = spark.createDataFrame([("k", "1"), ("b", "2"), ("a", "3")], "key string, value string")
     edges = spark.createDataFrame([("k", "b"), ("k", "a")], "key string, dep string")
     assert [(r["dep"], r["dep_value"]) for r in nodes.with_dependencies(results, edges, "k").collect()] == [("a", "3"), ("b", "2")]
+
+
+def test_manifest_line_of_very_many_inputs(spark):
+    """Long lines and words are walked without a call for each character."""
+    inputs = " ".join(f"dir/file{i}.o" for i in range(100_000))
+    text = f"rule link\n  command = ld $in -o $out\nbuild app: link {inputs} | {'x' * 300_000} || {inputs[:2000].rstrip()}\n"
+    row = text_files.build_statements(text_files.manifest_lines(files(spark, text))).first()
+    assert len(row["inputs"]) == 100_000 and len(row["implicit"][0]) == 300_000 and row["outputs"] == ["app"]
+    deps = text_files.make_dependencies(files(spark, f"a.o: {inputs} {'y' * 300_000}\n"))
+    assert deps.count() == 100_001
+    line = '{ "new-rule", "R1", "' + "k" * 300_000 + '" },'
+    assert len(text_files.trace_events(spark.createDataFrame([(0, line)], "seq long, value string")).first()["a2"]) == 300_000
+
+
+def test_paths_are_expanded_when_they_are_read(spark):
+    text = "x = a\nrule cc\n  command = cc $x $in\nbuild $x: cc in_$x\n  flag = $x\nx = b\nbuild $x: cc in_$x\ny = $x$x\nx = c\nbuild $y: cc\n"
+    lines = text_files.manifest_lines(files(spark, text))
+    rows = sorted((r["outputs"], r["inputs"], r["attrs"]) for r in text_files.build_statements(lines).collect())
+    assert rows == [(["a"], ["in_a"], {"flag": "a"}), (["b"], ["in_b"], {}), (["bb"], [], {})]
+    assert sorted(r["command"] for r in text_files.command_lines(lines).collect()) == ["cc a in_a", "cc b in_b", "cc c "]
