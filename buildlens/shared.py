@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     global _own_dir
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="buildlens-shared-")
     return _own_dir
