@@ -3,13 +3,16 @@
 Every text gets exact measures. Each rule rejects texts whose measure lies above a
 cutoff. A cutoff is proposed on one part of the labelled rows and certified on the
 other: the exact binomial test must show, at the corrected level, that the rule
-rejects at most `max_false_rejection` of the good texts of that stratum. Cutoffs are
+rejects at most its part of MAX_FALSE_REJECTION of the good texts of that stratum, so
+that all rules together reject no more than the whole of it. Cutoffs are
 tried from lenient to strict, so the steps within one (stratum, rule) need no further
 correction; Bonferroni corrects over all strata and rules. A stratum with too few
 labels to certify anything gets no cutoff, hence loses nothing beyond the base rule.
 
 Null or empty text: all measures 0, base_failed. Null stratum: a stratum of its own,
-which has cutoffs only if its labels certify them. Repeated rows: each is judged.
+which has cutoffs only if its labels certify them. Repeated rows: each is judged. Very
+long texts are measured whole. Labels of one doc_id that contradict each other, or have no
+doc_id, are not used. Other columns are kept by the stage, whatever they are called.
 """
 
 from __future__ import annotations
@@ -27,8 +30,9 @@ MEASURES = [(c, "long") for c in ("n_words", "word_chars", "n_symbols", "n_dup_l
 #: Shares are counted in steps of 1/GRID.
 GRID = 200
 MIN_WORDS = 50
-#: Of a stratum's good texts, at most this share may be rejected by one rule.
-MAX_FALSE_REJECTION = 0.01
+#: Of a stratum's good texts, at most this share may be rejected by all rules together;
+#: each rule is certified for an equal part of it, as a text fails if any rule rejects it.
+MAX_FALSE_REJECTION = 0.06
 #: Probability that any certified cutoff breaks its promise.
 DELTA = 0.05
 #: A cutoff must catch this many bad texts for each good text that it costs.
@@ -132,7 +136,7 @@ def cutoffs(measures: DataFrame, labels: DataFrame, stratum: str, risk: float =
         got: dict = {}
         for r in pdf.itertuples():
             got.setdefault((r.part, r.good), {})[r.bin] = r.count_
-        cut = choose(got, delta / tests, risk)
+        cut = choose(got, delta / tests, risk / len(RULES))
         return pd.DataFrame({"stratum": [key[0]], "rule": [key[1]], "cutoff": [cut]}, dtype=object)
 
     return counts.withColumnRenamed("count", "count_").groupBy("stratum", "rule").applyInPandas(certify, "stratum string, rule int, cutoff int").where("cutoff IS NOT NULL")
