@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import expand
+from ..shared import written
 
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
@@ -136,6 +137,39 @@ def manifest_lines(files: DataFrame) -> DataFrame:
     return lines.select("file", "line", F.sum(top.cast("int")).over(place).alias("statement"), word.alias("word"), F.trim("text").alias("text"))
 
 
+def joined_files(lines: DataFrame, root: str, most_rounds: int = 64) -> DataFrame:
+    """manifest_lines() of all files as one for the root and one for each `subninja`: an
+    included file's lines stand where it is included, and a child scope begins with the
+    variables and rules that its parent had set before. `file` names the scope: the files
+    and lines that lead to it. Names are those of `file`; a file that includes itself, or
+    is missing, is an error."""
+    top = lines.where("word <> 'binding'").select("file", "statement", F.col("word").alias("owner"))
+    all_ = written(lines.join(top, ["file", "statement"], "left").select(F.col("file").alias("source"), "line", "word", "owner", F.col("text").alias("said")))
+    placed = all_.where(F.col("source") == root).select(F.lit(root).alias("unit"), F.array("line").alias("order"), "word", "owner", "said")
+    for _ in range(most_rounds):
+        placed = written(placed)
+        asked = placed.where("word IN ('include', 'subninja')").withColumn("source", F.regexp_replace("said", r"^\w+\s+", ""))
+        if asked.isEmpty():
+            own = Window.partitionBy("unit").orderBy("order")
+            rows = placed.withColumn("line", F.row_number().over(own))
+            statement = F.sum((F.col("word") != "binding").cast("int")).over(own)
+            return rows.select(F.col("unit").alias("file"), "line", statement.alias("statement"), "word", F.col("said").alias("text"))
+        if missing := [r["source"] for r in asked.select("source").join(all_, "source", "left_anti").distinct().limit(20).collect()]:
+            raise ValueError(f"no such file: {', '.join(missing)}")
+        # includes first: what a child inherits is complete then
+        now = asked.where("word = 'include'")
+        if now.isEmpty():
+            now = asked.withColumn("child", F.concat_ws(" ", "unit", "source", F.array_join(F.transform("order", lambda i: i.cast("string")), ".")))
+            before = placed.where("owner IN ('variable', 'rule')").alias("p").join(now.select("unit", F.col("order").alias("at"), "child"), "unit").where("order < at")
+            inherited = before.select(F.col("child").alias("unit"), "order", "word", "owner", "said")
+        else:
+            now, inherited = now.withColumn("child", F.col("unit")), placed.where("false")
+        added = all_.join(now.select("source", "child", F.col("order").alias("at")), "source").select(F.col("child").alias("unit"), F.concat("at", F.array("line")).alias("order"), "word", "owner", "said")
+        done = now.select("unit", "order")
+        placed = placed.join(done, ["unit", "order"], "left_anti").unionByName(inherited).unionByName(added)
+    raise ValueError(f"files include each other more than {most_rounds} times")
+
+
 def bindings(lines: DataFrame) -> DataFrame:
     """(file, statement, line, word, name, value) of variables and indented bindings."""
     pattern = r"^([A-Za-z0-9_.-]+)\s*=\s*([\s\S]*)$"

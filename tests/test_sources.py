@@ -222,3 +222,20 @@ def test_paths_are_expanded_when_they_are_read(spark):
     rows = sorted((r["outputs"], r["inputs"], r["attrs"]) for r in text_files.build_statements(lines).collect())
     assert rows == [(["a"], ["in_a"], {"flag": "a"}), (["b"], ["in_b"], {}), (["bb"], [], {})]
     assert sorted(r["command"] for r in text_files.command_lines(lines).collect()) == ["cc a in_a", "cc b in_b", "cc c "]
+
+
+def test_included_files_and_child_scopes(spark):
+    parts = {
+        "main": "x = 1\nrule cc\n  command = cc $x $in\ninclude common\nbuild a$x: cc a.c\nsubninja child\nx = 3\nbuild b$x: cc b.c\n",
+        "common": "x = 2\nbuild c$x: cc c.c\n",
+        "child": "build d$x: cc d.c\n  flag = $x\nx = 9\nbuild e$x: cc e.c\ninclude common\n",
+    }
+    rows = spark.createDataFrame(list(parts.items()), "file string, content string")
+    lines = text_files.joined_files(text_files.manifest_lines(rows), "main")
+    got = {r["outputs"][0]: r["command"] for r in text_files.command_lines(lines).collect()}
+    assert got == {"c2": "cc 2 c.c", "a2": "cc 2 a.c", "b3": "cc 3 b.c", "d2": "cc 2 d.c", "e9": "cc 9 e.c"}
+    assert sorted(r["outputs"][0] for r in text_files.build_statements(lines).collect()) == ["a2", "b3", "c2", "c2", "d2", "e9"]
+    with pytest.raises(ValueError, match="no such file: none"):
+        text_files.joined_files(text_files.manifest_lines(files(spark, "include none\n")), "0")
+    with pytest.raises(ValueError, match="more than 4 times"):
+        text_files.joined_files(text_files.manifest_lines(files(spark, "include 0\n")), "0", 4)
