@@ -3,7 +3,9 @@ and functions of one text in Python workers."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shared import reach_workers, shared_dir, table, written  # noqa: F401
@@ -44,6 +46,15 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def with_row_ids(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a column that tells its rows apart. For rows that are read from files it is
+    file and place, which stay the same however often they are read; others are written."""
+    try:
+        return docs.select("*", F.concat_ws(":", "_metadata.file_name", "_metadata.row_index").alias(name))
+    except AnalysisException:
+        return written(docs, with_row_id=name)
+
+
 def with_python(df: DataFrame, column: str, make, fields: list[tuple[str, str]], setup=None) -> DataFrame:
     """df without `column`, plus the fields that make(value) returns as a tuple.
 

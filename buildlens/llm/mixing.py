@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, table, written
+from .common import WORD, fresh, table, with_row_ids, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -140,7 +140,7 @@ def mix_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Pipeline stage: each document as often as the mix takes it, in the order of the
     slots; where the mix ends within a document, its last copy is cut there."""
     row, size, taken, slot, place = fresh(docs, "__row", "__size", "__taken", "__slot", "__place")
-    rows = written(docs, with_row_id=row)
+    rows = with_row_ids(docs, row)
     sizes = rows.select(F.col(row).alias("row"), "doc_id", "source", size_of(F.col("text")).alias("size"), tie_of(F.col("text")).alias("tie"))
     got = mix(written(sizes)).where("taken > 0").select(*[F.col(x).alias(y) for x, y in (("row", row), ("size", size), ("taken", taken), ("first_slot", slot), ("place", place))])
     words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col(taken).cast("int"))

@@ -31,7 +31,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, limit_batches, table, with_python, written
+from .common import fresh, limit_batches, table, with_python, with_row_ids, written
 from .components import components
 
 PERMUTATIONS, BANDS, ROWS = 64, 32, 4
@@ -241,9 +241,9 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group one row, the first of those with the least id (null last).
 
-    Rows are told apart by a written row id, as ids may be null or repeated."""
+    Rows are told apart by a row id of their own, as ids may be null or repeated."""
     (own,) = fresh(docs, "__own")
-    rows = written(docs, with_row_id=own)
+    rows = with_row_ids(docs, own)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", own)).alias("first")
     kept = near_duplicates(rows, row_id=own).groupBy("__group").agg(first).select(F.col(f"first.{own}").alias(own))
     return rows.join(kept, own, "left_semi").select(*docs.columns)

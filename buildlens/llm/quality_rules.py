@@ -23,7 +23,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, table, with_python, written
+from .common import WORD, fresh, table, with_python, with_row_ids, written
 
 RULES = ("symbols", "capitals", "duplicate_lines", "repeated_words", "marks", "digits")
 MEASURES = [(c, "long") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("bins", "array<int>")]
@@ -166,6 +166,6 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that pass the rules, with their columns."""
     (row,) = fresh(docs, "__row")
-    rows = written(docs, with_row_id=row)
+    rows = with_row_ids(docs, row)
     good = quality(rows, table(spark, sf_dir, "labels"), row_id=row).where("kept").select(row)
     return rows.join(good, row, "left_semi").select(*docs.columns)
