@@ -4,6 +4,9 @@ Everything that needs a fix-point is a loop over DataFrames whose frontier is wr
 the shared folder each round, so neither lineage nor driver memory grows. Where every
 key has at most one dependency (forests, chains), pointer doubling needs only as many
 rounds as the depth has binary digits.
+
+Names compress well, so a file's size says little about a table's size in memory: joins
+are merged at every size, unless a table's rows have been counted and are few.
 """
 
 from __future__ import annotations
@@ -14,21 +17,30 @@ from pyspark.sql import functions as F
 from ..shared import written
 
 
+#: A table of so many rows may be sent whole to every executor.
+FEW = 10_000
+
+
+def sized(rows: DataFrame, n: int) -> DataFrame:
+    """rows, of which there are n, as one side of a join."""
+    return rows.hint("broadcast" if n <= FEW else "merge")
+
+
 def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Keys that no other key depends on."""
-    return nodes.join(edges.select(F.col("dep").alias("key")), "key", "left_anti")
+    return nodes.join(edges.select(F.col("dep").alias("key")).hint("merge"), "key", "left_anti")
 
 
 def leaves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Keys without dependencies."""
-    return nodes.join(edges.select("key"), "key", "left_anti")
+    return nodes.join(edges.select("key").hint("merge"), "key", "left_anti")
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(key, deps, dependents)."""
     ends = edges.select("key", F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("dep").alias("key"), F.lit(0).alias("o"), F.lit(1).alias("i")))
     sums = ends.groupBy("key").agg(F.sum("o").alias("deps"), F.sum("i").alias("dependents"))
-    return nodes.select("key").join(sums, "key", "left").na.fill(0, ["deps", "dependents"])
+    return nodes.select("key").join(sums.hint("merge"), "key", "left").na.fill(0, ["deps", "dependents"])
 
 
 def closure(goals: DataFrame, edges: DataFrame) -> DataFrame:
@@ -41,8 +53,8 @@ def closure(goals: DataFrame, edges: DataFrame) -> DataFrame:
     found, depth = frontier.withColumn("depth", F.lit(0)), 0
     while not frontier.isEmpty():
         depth += 1
-        reached = edges.join(frontier, "key", "left_semi").select(F.col("dep").alias("key")).distinct()
-        frontier = written(reached.join(found.select("key"), "key", "left_anti"))
+        reached = edges.join(frontier.hint("merge"), "key", "left_semi").select(F.col("dep").alias("key")).distinct()
+        frontier = written(reached.join(found.select("key").hint("merge"), "key", "left_anti"))
         found = found.unionByName(frontier.withColumn("depth", F.lit(depth)))
     return found
 
@@ -53,12 +65,12 @@ def upward(goals: DataFrame, edges: DataFrame) -> DataFrame:
     found = written(goals.select("key").distinct().withColumn("depth", F.lit(0)))
     jump, length, n = edges.select("key", F.col("dep").alias("up")), 1, found.count()
     while True:
-        far = found.join(jump, "key").select(F.col("up").alias("key"), (F.col("depth") + length).alias("depth"))
+        far = sized(found, n).join(jump, "key").select(F.col("up").alias("key"), (F.col("depth") + length).alias("depth"))
         found = written(found.unionByName(far).groupBy("key").agg(F.min("depth").alias("depth")))
         before, n = n, found.count()
         if n == before:
             return found
-        jump = written(jump.join(jump.select(F.col("key").alias("up"), F.col("up").alias("__up")), "up").select("key", F.col("__up").alias("up")))
+        jump = written(jump.join(jump.select(F.col("key").alias("up"), F.col("up").alias("__up")).hint("merge"), "up").select("key", F.col("__up").alias("up")))
         length *= 2
 
 
@@ -70,41 +82,52 @@ def doubled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes (key, w) with level and total: the number of edges, and the sum of w, along
     the one path of dependencies from each key. Each key has at most one dependency. A
     path longer than there are keys is a cycle, and a ValueError."""
-    now = nodes.select("key", "w").join(edges.select("key", F.col("dep").alias("up")), "key", "left")
+    now = nodes.select("key", "w").join(edges.select("key", F.col("dep").alias("up")).hint("merge"), "key", "left")
     rounds = nodes.count().bit_length() + 1
     now = written(now.select("key", "up", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("level"), F.col("w").cast("decimal(38,2)").alias("total")))
-    while not now.where("up IS NOT NULL").isEmpty():
+    # what has reached its end is kept, but not joined again
+    done, going = now.where("up IS NULL"), now.where("up IS NOT NULL")
+    while not going.isEmpty():
         if not (rounds := rounds - 1):
             raise ValueError("the graph has cycles")
-        above = now.select(F.col("key").alias("up"), F.col("up").alias("up2"), F.col("level").alias("level2"), F.col("total").alias("total2"))
-        step = now.join(above, "up", "left")
+        above = done.unionByName(going).select(F.col("key").alias("up"), F.col("up").alias("up2"), F.col("level").alias("level2"), F.col("total").alias("total2"))
+        step = going.join(above.hint("merge"), "up", "left")
         now = written(step.select("key", F.col("up2").alias("up"), (F.col("level") + F.coalesce("level2", F.lit(0))).alias("level"), (F.col("total") + F.coalesce("total2", F.lit(0))).cast("decimal(38,2)").alias("total")))
-    return now.select("key", "level", "total")
+        done, going = done.unionByName(now.where("up IS NULL")), now.where("up IS NOT NULL")
+    return done.select("key", "level", "total")
 
 
 def acyclic(edges: DataFrame) -> DataFrame:
     """What is left of the edges after removing, again and again, those whose key has no
     dependent and those whose dep has no dependency: empty, unless there are cycles. Where
-    each key has at most one dependency, it is what jumps of more edges than there are
-    still end at."""
+    each key has at most one dependency, it is the edges of the keys on cycles."""
     left = written(edges.select("key", "dep").distinct())
     if single_parent(left):
-        jump = left.select("key", F.col("dep").alias("up"))
-        for _ in range(left.count().bit_length() + 1):
-            if jump.isEmpty():
-                break
-            jump = written(jump.join(jump.select(F.col("key").alias("up"), F.col("up").alias("__up")), "up").select("key", F.col("__up").alias("up")))
-        return left.join(jump.select(F.col("up").alias("key")).distinct(), "key", "left_semi")
+        return left.join(turning(left).hint("merge"), "key", "left_semi")
     n, before = left.count(), -1
     while n and n != before:
         before = n
-        left = left.join(left.select(F.col("dep").alias("key")).distinct(), "key", "left_semi")
-        left = left.join(left.select(F.col("key").alias("dep")).distinct(), "dep", "left_semi").select("key", "dep")
+        left = left.join(left.select(F.col("dep").alias("key")).distinct().hint("merge"), "key", "left_semi")
+        left = left.join(left.select(F.col("key").alias("dep")).distinct().hint("merge"), "dep", "left_semi").select("key", "dep")
         left = written(left)
         n = left.count()
     return left
 
 
+def turning(edges: DataFrame) -> DataFrame:
+    """(key) on a cycle, where each key has at most one dependency. Jumps go on only from
+    keys that jumps end at, and are twice as long in each round; where these are all keys
+    that jumps start from, they turn in cycles."""
+    jump, n = edges.select("key", F.col("dep").alias("up")), edges.count()
+    while True:
+        met = written(jump.join(jump.select(F.col("up").alias("key")).distinct().hint("merge"), "key", "left_semi"))
+        if (left := met.count()) == n:
+            return met.select("key")
+        far = sized(met.select(F.col("key").alias("up"), F.col("up").alias("__up")), left)
+        jump = written(met.join(far, "up").select("key", F.col("__up").alias("up")))
+        n = jump.count()
+
+
 def on_cycles(edges: DataFrame) -> DataFrame:
     """(key) on a cycle or on a path between cycles."""
     left = acyclic(edges)
@@ -115,7 +138,7 @@ def cycle_path(edges: DataFrame, start: str) -> list[str]:
     """One cycle that start reaches, in the order of names, its first key repeated last;
     [] if there is none. Only the residue of acyclic() is walked, one edge at a time."""
     left = acyclic(edges)
-    inside = closure(left.sparkSession.createDataFrame([(start,)], "key string"), edges).join(left.select("key").distinct(), "key", "left_semi")
+    inside = closure(left.sparkSession.createDataFrame([(start,)], "key string"), edges).join(left.select("key").distinct().hint("merge"), "key", "left_semi")
     first = inside.agg(F.min("key")).first()[0]
     path: list[str] = []
     while first is not None and first not in path:
@@ -136,13 +159,13 @@ def longest_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     In each round the keys whose dependencies are all placed are placed, with the sums
     of only that round's edges shuffled; if none is ready but some wait, there is a cycle."""
-    edges = written(edges.select("key", "dep").distinct().join(nodes.select("key"), "key", "left_semi"))
+    edges = written(edges.select("key", "dep").distinct().join(nodes.select("key").hint("merge"), "key", "left_semi"))
     if single_parent(edges):
         return doubled(nodes, edges)
     inner = nodes.select("key", F.col("w").cast("decimal(38,2)").alias("w"), F.lit(True).alias("inner"))
-    outer = edges.select(F.col("dep").alias("key")).distinct().join(nodes.select("key"), "key", "left_anti")
+    outer = edges.select(F.col("dep").alias("key")).distinct().join(nodes.select("key").hint("merge"), "key", "left_anti")
     weights = inner.unionByName(outer.select("key", F.lit(0).cast("decimal(38,2)").alias("w"), F.lit(False).alias("inner")))
-    state = written(weights.join(edges.groupBy("key").agg(F.count("*").alias("open")), "key", "left").select("key", "w", "inner", F.coalesce("open", F.lit(0)).alias("open"), F.lit(0).cast("decimal(38,2)").alias("best")))
+    state = written(weights.join(edges.groupBy("key").agg(F.count("*").alias("open")).hint("merge"), "key", "left").select("key", "w", "inner", F.coalesce("open", F.lit(0)).alias("open"), F.lit(0).cast("decimal(38,2)").alias("best")))
     placed, level = None, 0
     while True:
         ready = written(state.where("open = 0").select("key", "inner", F.lit(level).cast("long").alias("level"), (F.col("best") + F.col("w")).cast("decimal(38,2)").alias("total")))
@@ -151,8 +174,8 @@ def longest_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                 raise ValueError("the graph has cycles")
             return (placed if placed is not None else ready).where("inner").drop("inner")
         placed = ready if placed is None else placed.unionByName(ready)
-        fed = edges.join(ready.select(F.col("key").alias("dep"), "total"), "dep").groupBy("key").agg(F.count("*").alias("n"), F.max("total").alias("m"))
-        state = state.where("open > 0").join(fed, "key", "left")
+        fed = edges.join(ready.select(F.col("key").alias("dep"), "total").hint("merge"), "dep").groupBy("key").agg(F.count("*").alias("n"), F.max("total").alias("m"))
+        state = state.where("open > 0").join(fed.hint("merge"), "key", "left")
         state = written(state.select("key", "w", "inner", (F.col("open") - F.coalesce("n", F.lit(0))).alias("open"), F.greatest("best", F.coalesce("m", F.lit(0))).cast("decimal(38,2)").alias("best")))
         level += 1
 
@@ -161,11 +184,11 @@ def critical_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(ordinal, key, w, total): the chain with the greatest sum of w, dependencies first.
     Equal sums go to the least key."""
     totals = written(longest_paths(nodes, edges))
-    below = edges.select("key", "dep").join(totals.select(F.col("key").alias("dep"), "total"), "dep")
+    below = edges.select("key", "dep").join(totals.select(F.col("key").alias("dep"), "total").hint("merge"), "dep")
     chosen = written(below.groupBy("key").agg(F.min_by("dep", F.struct(-F.col("total"), F.col("dep"))).alias("dep")))
     path = written(upward(totals.orderBy(F.desc("total"), "key").limit(1), chosen))
-    deepest = path.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]  # one number
-    rows = path.join(totals, "key").join(nodes.select("key", "w"), "key")
+    deepest, n = path.agg(F.coalesce(F.max("depth"), F.lit(0)), F.count("*")).first()  # two numbers
+    rows = sized(sized(path, n).join(totals, "key"), n).join(nodes.select("key", "w"), "key")
     return rows.select((F.lit(deepest) - F.col("depth")).alias("ordinal"), "key", "w", "total")
 
 
@@ -201,4 +224,4 @@ def propagate(nodes: DataFrame, edges: DataFrame, failed: DataFrame) -> DataFram
     failed, else 'ok'. Dependents of failures are followed outward, level by level."""
     back = edges.select(F.col("dep").alias("key"), F.col("key").alias("dep"))
     hit = closure(failed, back).select("key", F.when(F.col("depth") == 0, "failed").otherwise("propagated").alias("state"))
-    return nodes.select("key").join(hit, "key", "left").withColumn("state", F.coalesce("state", F.lit("ok")))
+    return nodes.select("key").join(hit.hint("merge"), "key", "left").withColumn("state", F.coalesce("state", F.lit("ok")))
