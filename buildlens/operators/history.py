@@ -114,8 +114,9 @@ def duplicates(rules: DataFrame, key: str = "key") -> DataFrame:
 
 def run_reasons(rules: DataFrame, prior: DataFrame, valid: DataFrame) -> DataFrame:
     """(key, reason) before dependencies are looked at: never-built, signature-changed,
-    invalid-value, or null. rules: (key, signature); valid: (key, ok), missing means ok."""
-    rows = rules.select("key", "signature").join(prior.select("key", F.col("signature").alias("__before"), "built_at"), "key", "left").join(valid.select("key", "ok"), "key", "left")
+    invalid-value, or null. rules: (key, signature); valid: (key, ok), missing means ok.
+    The joins are merged at every size, as in graph."""
+    rows = rules.select("key", "signature").join(prior.select("key", F.col("signature").alias("__before"), "built_at").hint("merge"), "key", "left").join(valid.select("key", "ok").hint("merge"), "key", "left")
     reason = F.when(F.coalesce("built_at", F.lit(0)) == 0, "never-built").when(~F.col("signature").eqNullSafe(F.col("__before")), "signature-changed").when(~F.coalesce("ok", F.lit(True)), "invalid-value")
     return rows.select("key", reason.alias("reason"))
 

@@ -4,7 +4,8 @@ build() walks the goals' demand closure from its leaves outward. In each round t
 whose dependencies are all done are judged with one set of joins, those that must run
 are computed with one call of the rule function, and an unchanged value keeps its
 computed_at, so that nothing above it runs for its sake. Only one round's rows are
-shuffled with it, and every round's state is written to the shared folder.
+shuffled with it, and every round's state is written to the shared folder. Joins are
+merged at every size, as in graph.
 
 Old dependencies that a key no longer asks for are brought up to date all the same: the
 plan works on sets and looks at all stored edges. build_dynamic() is for rule functions
@@ -52,21 +53,21 @@ def build(goals: DataFrame, rules: DataFrame, prior: DataFrame, edges: DataFrame
         raise ValueError("a rule is declared more than once")
     edges = written(drop_single_use(edges))
     wanted = written(graph.closure(goals, edges).select("key"))
-    edges = written(edges.join(wanted, "key", "left_semi"))
-    if lost := [r["key"] for r in wanted.join(rules, "key", "left_anti").select("key").orderBy("key").limit(20).collect()]:
+    edges = written(edges.join(wanted.hint("merge"), "key", "left_semi"))
+    if lost := [r["key"] for r in wanted.join(rules.hint("merge"), "key", "left_anti").select("key").orderBy("key").limit(20).collect()]:
         raise MissingRules(lost)
-    reasons = run_reasons(rules.join(wanted, "key", "left_semi"), prior, valid)
+    reasons = run_reasons(rules.join(wanted.hint("merge"), "key", "left_semi"), prior, valid)
     open_ = edges.groupBy("key").agg(F.count("*").alias("open"))
     before = prior.select("key", F.col("value").alias("old"), F.col("built_at").alias("old_built"), F.col("computed_at").alias("old_computed"))
-    waiting = reasons.join(rules.select("key", "signature"), "key").join(before, "key", "left").join(open_, "key", "left")
+    waiting = reasons.join(rules.select("key", "signature").hint("merge"), "key").join(before.hint("merge"), "key", "left").join(open_.hint("merge"), "key", "left")
     waiting = written(waiting.withColumn("open", F.coalesce("open", F.lit(0))).withColumn("late", F.lit(False)))
     done, last, turn = None, None, 0
     while True:
         if last is not None:
-            fed = edges.join(last.select(F.col("key").alias("dep"), F.col("computed_at").alias("dep_computed")), "dep").join(waiting.select("key", "old_built"), "key")
+            fed = edges.join(last.select(F.col("key").alias("dep"), F.col("computed_at").alias("dep_computed")).hint("merge"), "dep").join(waiting.select("key", "old_built").hint("merge"), "key")
             late = ~F.coalesce("order_only", F.lit(False)) & (F.col("old_built") < F.col("dep_computed"))
             fed = fed.groupBy("key").agg(F.count("*").alias("n"), F.max(F.coalesce(late, F.lit(False))).alias("fed_late"))
-            waiting = waiting.where("open > 0").join(fed, "key", "left")
+            waiting = waiting.where("open > 0").join(fed.hint("merge"), "key", "left")
             waiting = waiting.withColumn("open", F.col("open") - F.coalesce("n", F.lit(0))).withColumn("late", F.col("late") | F.coalesce("fed_late", F.lit(False))).drop("n", "fed_late")
             waiting = written(waiting)
         ready = waiting.where("open = 0").withColumn("reason", F.coalesce("reason", F.when(F.col("late"), "input-rebuilt").otherwise("up-to-date")))
@@ -78,7 +79,7 @@ def build(goals: DataFrame, rules: DataFrame, prior: DataFrame, edges: DataFrame
         run = ready.where("reason <> 'up-to-date'").select("key")
         got = compute(inputs_of(run, edges, done))
         got = got.select("key", "value", (F.col("force") if "force" in got.columns else F.lit(False)).alias("force"))
-        rows = ready.join(got, "key", "left")
+        rows = ready.join(got.hint("merge"), "key", "left")
         ran = F.col("reason") != "up-to-date"
         value = F.when(ran, F.col("value")).otherwise(F.col("old"))
         same = ~ran | (F.col("value").eqNullSafe(F.col("old")) & F.col("old_built").isNotNull() & ~F.coalesce("force", F.lit(False)))
@@ -93,9 +94,9 @@ def inputs_of(keys: DataFrame, edges: DataFrame, done: DataFrame | None) -> Data
     """(key, inputs) with the values of the keys' dependencies, in order."""
     if done is None:
         return keys.withColumn("inputs", F.array().cast("array<struct<ordinal:int,dep:string,value:string>>"))
-    own = edges.join(keys, "key", "left_semi").join(done.select(F.col("key").alias("dep"), "value"), "dep")
+    own = edges.join(keys.hint("merge"), "key", "left_semi").join(done.select(F.col("key").alias("dep"), "value").hint("merge"), "dep")
     lists = own.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ordinal", "dep", "value"))).alias("inputs"))
-    return keys.join(lists, "key", "left").withColumn("inputs", F.coalesce("inputs", F.array().cast(lists.schema["inputs"].dataType)))
+    return keys.join(lists.hint("merge"), "key", "left").withColumn("inputs", F.coalesce("inputs", F.array().cast(lists.schema["inputs"].dataType)))
 
 
 def persisted(results: DataFrame) -> DataFrame:
@@ -118,8 +119,8 @@ def build_dynamic(goals: DataFrame, step: Step, most_rounds: int = 10_000) -> Da
         if done is None:
             ready = tasks.select("key", "asks", F.create_map().cast("map<string,string>").alias("inputs"))
         else:
-            have = wants.join(done.select(F.col("key").alias("dep"), "value"), "dep").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("dep", "value"))).alias("inputs"))
-            ready = tasks.join(have, "key", "left").where(F.size("asks") == F.coalesce(F.size("inputs"), F.lit(0)))
+            have = wants.join(done.select(F.col("key").alias("dep"), "value").hint("merge"), "dep").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("dep", "value"))).alias("inputs"))
+            ready = tasks.join(have.hint("merge"), "key", "left").where(F.size("asks") == F.coalesce(F.size("inputs"), F.lit(0)))
             ready = ready.withColumn("inputs", F.coalesce("inputs", F.create_map().cast("map<string,string>")))
         ready = written(ready)
         if ready.isEmpty():
@@ -127,12 +128,12 @@ def build_dynamic(goals: DataFrame, step: Step, most_rounds: int = 10_000) -> Da
                 return done
             raise Cycle(graph.cycle_path(wants.withColumn("ordinal", F.lit(0)), tasks.agg(F.min("key")).first()[0]))
         got = written(step(ready.select("key", F.lit(turn).alias("round"), "inputs")).select("key", "value", "asks"))
-        ended = got.where("value IS NOT NULL").join(ready.select("key", F.col("asks").alias("deps")), "key").select("key", "value", "deps")
-        going = got.where("value IS NULL").join(ready.select("key", F.col("asks").alias("__asked")), "key").select("key", F.array_union("__asked", "asks").alias("asks"))
+        ended = got.where("value IS NOT NULL").join(ready.select("key", F.col("asks").alias("deps")).hint("merge"), "key").select("key", "value", "deps")
+        going = got.where("value IS NULL").join(ready.select("key", F.col("asks").alias("__asked")).hint("merge"), "key").select("key", F.array_union("__asked", "asks").alias("asks"))
         done = ended if done is None else done.unionByName(ended)
         done = written(done)
-        stay = tasks.join(ready.select("key"), "key", "left_anti").unionByName(going)
-        new = going.select(F.explode("asks").alias("key")).distinct().join(tasks.select("key"), "key", "left_anti").join(done.select("key"), "key", "left_anti")
+        stay = tasks.join(ready.select("key").hint("merge"), "key", "left_anti").unionByName(going)
+        new = going.select(F.explode("asks").alias("key")).distinct().join(tasks.select("key").hint("merge"), "key", "left_anti").join(done.select("key").hint("merge"), "key", "left_anti")
         tasks = written(stay.unionByName(new.select("key", F.array().cast("array<string>").alias("asks"))))
     raise RuntimeError(f"no end after {most_rounds} rounds")
 
@@ -159,10 +160,10 @@ def early_cutoff(prior: DataFrame, edges: DataFrame, changed: DataFrame, unchang
     found = frontier = written(changed.select("key").distinct())
     out = frontier.withColumn("reason", F.lit("changed"))
     while True:
-        open_ = frontier.join(stops, "key", "left_anti").select(F.col("key").alias("dep"))
-        frontier = written(back.join(open_, "dep", "left_semi").select("key").distinct().join(found, "key", "left_anti"))
+        open_ = frontier.join(stops.hint("merge"), "key", "left_anti").select(F.col("key").alias("dep"))
+        frontier = written(back.join(open_.hint("merge"), "dep", "left_semi").select("key").distinct().join(found.hint("merge"), "key", "left_anti"))
         if frontier.isEmpty():
-            return out.join(prior.select("key"), "key", "left_semi")
+            return out.join(prior.select("key").hint("merge"), "key", "left_semi")
         found = found.unionByName(frontier)
         out = out.unionByName(frontier.withColumn("reason", F.lit("input-rebuilt")))
 

@@ -247,3 +247,44 @@ def test_build_names_keys_without_a_rule(spark):
     with pytest.raises(incremental.Cycle) as e:
         incremental.build(goals, both, prior, ring, valid, compute, 1)
     assert e.value.path == ["A", "B", "A"]
+
+
+@pytest.mark.parametrize("of", ["closure", "longest_paths", "on_cycles", "propagate", "early_cutoff", "build"])
+def test_no_round_sends_a_table_whole(spark, monkeypatch, of):
+    """A table's file says little about its size in memory, so no join may go by it."""
+    rows = spark.range(200).selectExpr("concat('k', id) AS key", "id", "CAST(id AS DECIMAL(12,2)) AS w")
+    edges = rows.where("id >= 4").selectExpr("key", "explode(array(concat('k', id DIV 2), concat('k', id DIV 4))) AS dep", "0 AS ordinal", "false AS order_only", "false AS single_use")
+    nodes, top = rows.select("key", "w"), rows.where("id > 150").select("key")
+    plans = []
+
+    def kept(df, *more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, *more)
+
+    from buildlens.shared import written
+
+    monkeypatch.setattr(graph, "FEW", 0, raising=False)
+    monkeypatch.setattr(graph, "written", kept)
+    monkeypatch.setattr(incremental, "written", kept)
+    rules = nodes.selectExpr("key", "'s' AS signature")
+    prior = nodes.selectExpr("key", "'v' AS value", "'s' AS signature", "1L AS built_at", "1L AS computed_at")
+    out = {
+        "closure": lambda: graph.closure(top, edges),
+        "longest_paths": lambda: graph.longest_paths(nodes, edges),
+        "on_cycles": lambda: graph.on_cycles(edges),
+        "propagate": lambda: graph.propagate(nodes, edges, rows.where("id = 3").select("key")),
+        "early_cutoff": lambda: incremental.early_cutoff(nodes, edges, rows.where("id = 3").select("key"), rows.where("id = 9").select("key")),
+        "build": lambda: incremental.build(nodes.select("key"), rules, prior, edges, rows.where("id = 3").selectExpr("key", "false AS ok"), lambda run: run.selectExpr("key", "'v2' AS value"), 2),
+    }[of]()
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 2 and not [p for p in plans if "Broadcast" in p]
+
+
+def test_cycles_of_forests_with_long_ways_in(spark):
+    """Rings of 1, 2 and 3 keys, ways of many lengths into them, and chains that end."""
+    ring = {"a": "a", "b": "c", "c": "b", "d": "e", "e": "f", "f": "d"}
+    into = {f"i{n}": f"i{n + 1}" for n in range(20)} | {"i20": "d", "j0": "j1", "j1": "b", "j2": "b"}
+    ends = {f"x{n}": f"x{n + 1}" for n in range(9)}
+    edges = spark.createDataFrame([*ring.items(), *into.items(), *ends.items()], "key string, dep string")
+    assert {r["key"] for r in graph.on_cycles(edges).collect()} == set(ring)
+    assert graph.on_cycles(spark.createDataFrame(list(ends.items()), "key string, dep string")).isEmpty()
