@@ -36,14 +36,17 @@ def layered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(nodes (key, layer, i, w), edges (key, ordinal, dep, order_only, single_use))."""
     customer = table(spark, sf_dir, "customer")
     n = F.lit(customer.count())  # one number
-    each = customer.select(F.col("c_custkey").alias("i"), F.abs("c_acctbal").cast(lenses.MONEY).alias("w"), F.explode(F.sequence(F.lit(0), F.lit(LAYERS - 1))).alias("layer"))
+    # a small file is read by few tasks; what it is made into is many times as large
+    dealt = customer.select("c_custkey", "c_acctbal").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+    each = dealt.select(F.col("c_custkey").alias("i"), F.abs("c_acctbal").cast(lenses.MONEY).alias("w"), F.explode(F.sequence(F.lit(0), F.lit(LAYERS - 1))).alias("layer"))
     name = lambda layer, i: F.concat(F.lit("L"), layer.cast("string"), F.lit("_"), i.cast("string"))
     rows = each.select(name(F.col("layer"), F.col("i")).alias("key"), "layer", "i", "w")
     inner = rows.where("layer > 0 AND (i + layer) % 5 <> 0")
     layer, i = F.col("layer"), F.col("i")
     deps = F.array(name(layer - 1, (i * 7 + layer) % n), name(layer - 1, (i * 3 + 1) % n), F.when(layer > 1, name(layer - 2, (i * 5) % n)))
-    edges = inner.select("key", F.posexplode(F.array_compact(deps)).alias("ordinal", "dep"))
-    edges = edges.groupBy("key", "dep").agg(F.min("ordinal").alias("ordinal"))
+    deps = inner.select("key", F.array_compact(deps).alias("deps"))
+    # of equal dependencies of a key the first
+    edges = deps.select("key", "deps", F.posexplode("deps").alias("ordinal", "dep")).where("ordinal = array_position(deps, dep) - 1")
     return rows, edges.select("key", "ordinal", "dep", F.lit(False).alias("order_only"), F.lit(False).alias("single_use"))
 
 
