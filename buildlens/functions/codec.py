@@ -36,6 +36,17 @@ def to_little_endian(value: Column, width: int = 8) -> Column:
     return F.unhex(F.concat(*parts))
 
 
+def _turned(digits: Column) -> Column:
+    """The 16 hex digits of 8 bytes, the last byte first."""
+    return F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(8))])
+
+
+def _word(digits: Column) -> Column:
+    """The bit pattern of 16 hex digits, in halves, as conv() counts without sign."""
+    half = lambda at: F.conv(F.substring(digits, at, 8), 16, 10).cast("long")
+    return F.shiftleft(half(1), 32).bitwiseOR(half(9))
+
+
 def unsigned(value: Column) -> Column:
     """A bit pattern as the unsigned number that it stands for."""
     wide = value.cast("decimal(20,0)")
@@ -45,7 +56,8 @@ def unsigned(value: Column) -> Column:
 def decode_dependencies(blob: Column) -> Column:
     """ARRAY<STRUCT<key_id, order_only, single_use>> of 8-byte words; null where the
     length is not a multiple of 8."""
-    words = F.transform(F.sequence(F.lit(0), (F.octet_length(blob) / 8).cast("int") - 1), lambda i: little_endian(blob, i * 8))
+    digits = F.transform(F.sequence(F.lit(0), (F.octet_length(blob) / 8).cast("int") - 1), lambda i: F.hex(F.substring(blob, i * 8 + 1, F.lit(8))))
+    words = F.transform(F.transform(digits, _turned), _word)
     words = F.when(F.octet_length(blob) == 0, F.array().cast("array<bigint>")).otherwise(words)
     entries = F.transform(
         words,
@@ -61,7 +73,8 @@ def decode_dependencies(blob: Column) -> Column:
 def encode_dependencies(entries: Column) -> Column:
     """The inverse of decode_dependencies."""
     word = lambda e: F.shiftleft(e["key_id"], 2).bitwiseOR(e["single_use"].cast("long") * 2).bitwiseOR(e["order_only"].cast("long"))
-    return F.unhex(F.array_join(F.transform(entries, lambda e: F.hex(to_little_endian(word(e)))), ""))
+    digits = F.transform(entries, lambda e: F.lpad(F.hex(word(e)), 16, "0"))
+    return F.unhex(F.array_join(F.transform(digits, _turned), ""))
 
 
 def decode_key(key: Column) -> Column:
