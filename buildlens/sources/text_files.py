@@ -124,6 +124,7 @@ def snapshot(spark: SparkSession, path: str, checksums: bool = False) -> DataFra
 # Manifests of build, rule, pool, default and include lines with indented bindings
 
 _PATH = r"(?:\$[\s\S]|[^\s$:|])++"
+_BINDING = r"^([A-Za-z0-9_.-]+)\s*=\s*([\s\S]*)$"
 
 
 def manifest_lines(files: DataFrame) -> DataFrame:
@@ -172,9 +173,8 @@ def joined_files(lines: DataFrame, root: str, most_rounds: int = 64) -> DataFram
 
 def bindings(lines: DataFrame) -> DataFrame:
     """(file, statement, line, word, name, value) of variables and indented bindings."""
-    pattern = r"^([A-Za-z0-9_.-]+)\s*=\s*([\s\S]*)$"
-    rows = lines.where(F.col("word").isin("variable", "binding") & F.col("text").rlike(pattern))
-    return rows.select("file", "statement", "line", "word", F.regexp_extract("text", pattern, 1).alias("name"), F.regexp_extract("text", pattern, 2).alias("value"))
+    rows = lines.where(F.col("word").isin("variable", "binding") & F.col("text").rlike(_BINDING))
+    return rows.select("file", "statement", "line", "word", F.regexp_extract("text", _BINDING, 1).alias("name"), F.regexp_extract("text", _BINDING, 2).alias("value"))
 
 
 def scopes(lines: DataFrame) -> DataFrame:
@@ -204,18 +204,20 @@ def scope_at(steps: Column, line: Column) -> Column:
 
 def build_statements(lines: DataFrame) -> DataFrame:
     """(file, statement, rule, outputs, inputs, implicit, order_only, attrs, scope): paths
-    and bindings are expanded with what the file has set before the statement."""
-    head = lines.where("word = 'build'")
+    and bindings are expanded with what the file has set before the statement. Lines come
+    dealt by file, and all that is grouped and joined here stays in a file's place."""
+    one = F.col("word") == "build"
+    entry = F.when((F.col("word") == "binding") & F.col("text").rlike(_BINDING), F.struct(F.regexp_extract("text", _BINDING, 1).alias("name"), F.regexp_extract("text", _BINDING, 2).alias("value")))
+    both = lines.where("word IN ('build', 'binding')").groupBy("file", "statement").agg(F.max(F.when(one, F.struct("line", "text"))).alias("head"), F.array_sort(F.collect_list(entry)).alias("entries"))
+    head = both.where("head IS NOT NULL").select("file", "statement", "head.line", "head.text", "entries")
     parts = r"^build\s+((?:\$[\s\S]|[^:$])++):\s*([A-Za-z0-9_.-]+)([\s\S]*)$"
-    rows = head.select("file", "statement", "line", F.regexp_extract("text", parts, 1).alias("outs"), F.regexp_extract("text", parts, 2).alias("rule"), F.regexp_extract("text", parts, 3).alias("ins"))
-    rows = rows.join(scopes(lines).select("file", "steps"), "file", "left")
+    rows = head.select("file", "statement", "line", F.regexp_extract("text", parts, 1).alias("outs"), F.regexp_extract("text", parts, 2).alias("rule"), F.regexp_extract("text", parts, 3).alias("ins"), "entries")
+    rows = rows.join(scopes(lines).select("file", "steps").hint("merge"), "file", "left")
     rows = rows.withColumn("scope", F.coalesce(scope_at(F.col("steps"), F.col("line")), F.create_map().cast("map<string,string>")))
     paths = lambda c: F.transform(F.regexp_extract_all(c, F.lit(_PATH), F.lit(0)), lambda p: expand(p, F.col("scope")))
     section = lambda c, pattern: F.regexp_extract(c, pattern, 1)
-    own = bindings(lines).where("word = 'binding'").groupBy("file", "statement").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("own"))
-    rows = rows.join(own, ["file", "statement"], "left").withColumn("own", F.coalesce("own", F.create_map().cast("map<string,string>")))
     plain, piped, ordered = r"^((?:\$[\s\S]|[^|$])*+)", r"^(?:\$[\s\S]|[^|$])*+\|((?:\$[\s\S]|[^|$])++)", r"\|\|([\s\S]*)$"
-    attrs = F.transform_values("own", lambda _, v: expand(v, F.col("scope")))
+    attrs = F.transform_values(F.map_from_entries("entries"), lambda _, v: expand(v, F.col("scope")))
     return rows.select(
         "file", "statement", "rule",
         F.concat(paths(section("outs", plain)), paths(section("outs", piped))).alias("outputs"),
@@ -244,7 +246,10 @@ def manifest_edges(builds: DataFrame) -> DataFrame:
     """(key, ordinal, dep, order_only): what each output depends on, in order."""
     marked = lambda c, only: F.transform(c, lambda p: F.named_struct(F.lit("dep"), p, F.lit("order_only"), F.lit(only)))
     deps = F.concat(marked("inputs", False), marked("implicit", False), marked("order_only", True))
-    return builds.select(F.explode("outputs").alias("key"), deps.alias("deps")).select("key", F.posexplode("deps").alias("ordinal", "d")).select("key", "ordinal", "d.dep", "d.order_only")
+    # outer, and rows without elements dropped behind it: explode() asks for the array's size
+    # first, and that question is moved into the lambdas that make the array
+    keyed = builds.select(F.explode_outer("outputs").alias("key"), deps.alias("deps")).where("key IS NOT NULL")
+    return keyed.select("key", F.posexplode_outer("deps").alias("ordinal", "d")).where("ordinal IS NOT NULL").select("key", "ordinal", "d.dep", "d.order_only")
 
 
 def manifest_errors(lines: DataFrame) -> DataFrame:
